@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, sharding, simhash, urls
+from . import bpe, decontaminate, sharding, simhash, urls
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(table(spark, sf_dir, "documents"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
