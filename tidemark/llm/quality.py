@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, utf8
 from .labelled import held_out, sample
@@ -180,3 +181,19 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **bound
 def score(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataFrame:
     scored = statistics(docs).select("doc_id", held_out("doc_id").alias("held_out"), model.column().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def good_rows(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is at least ``threshold``; repeated rows stay repeated."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, found = batch.column("row").field("text"), []
+            for low, high in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+                found += [statistics_of(t) for t in utf8(texts.slice(low, high - low))]
+            table = np.array(found, dtype=np.float64).reshape(-1, len(STATISTICS))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(c) for c in table.T.copy())], names=["row", *STATISTICS])
+
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(name, T.DoubleType()) for name in STATISTICS)])
+    return rows.mapInArrow(run, schema).where(model.column() >= threshold).select("row.*")
