@@ -1,7 +1,7 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 A text is cut into chunks where a rolling hash of eight bytes falls below a bound, so passages that documents
-share give the same chunks. A chunk is encoded once for each worker and kept; of a chunk only its core, the
+share give the same chunks. A chunk is encoded once in a task and kept; of a chunk only its core, the
 words between its first and its last white space, can be reused as it is. Joins are repaired: what stands
 around a cut is re-encoded, over as many chunks as it takes to reach white space on both sides, where the
 encodings agree exactly because the tokenizer drops white space and never merges across it.
@@ -9,6 +9,7 @@ encodings agree exactly because the tokenizer drops white space and never merges
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,8 @@ from .common import slices, utf8
 
 #: One cut in so many bytes, on average.
 CHUNK_BYTES = 256
-#: Kept chunks and pieces for each worker; a full store is emptied.
-KEPT_CHUNKS, KEPT_PIECES = 40_000, 400_000
+#: Kept chunks and pieces for each task; a full store is emptied, and so are all when the task ends.
+KEPT_CHUNKS, KEPT_PIECES = 12_000, 150_000
 
 #: Parts of more bytes than this go through the library.
 LONGEST = 32
@@ -192,6 +193,15 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[tuple[bytes, str]]:
         """For each text its ids, as bytes, and its decoded text."""
+        collects = gc.isenabled()
+        gc.disable()  # nothing here makes cycles, and the stores hold many objects to look through
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[bytes]) -> list[tuple[bytes, str]]:
         data = b"".join(texts)
         ends = np.cumsum([len(t) for t in texts])
         at = cuts(np.frombuffer(data, dtype=np.uint8))
@@ -243,6 +253,10 @@ class Encoder:
             out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])))
         return out
 
+    def forget(self) -> None:
+        for store in (self.chunks, self.pieces, self.parts):
+            store.clear()
+
     @staticmethod
     def _cut_up(chunk: bytes) -> tuple:
         """(head, tail, core to fill, words of the core); head is None if the chunk has no white space."""
@@ -269,6 +283,20 @@ def _encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def _encoded(encoder: Encoder, batches: Iterator[pa.RecordBatch], packed: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text")
+        for low, high in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+            got = encoder.encode(utf8(texts.slice(low, high - low)))
+            n = np.array([len(g[0]) // 4 for g in got], dtype=np.int64)
+            if packed:
+                ids = pa.array([g[0] for g in got], pa.binary())
+            else:
+                flat = np.frombuffer(b"".join([g[0] for g in got]), dtype="<i4")
+                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), pa.array(n), ids, pa.array([g[1] for g in got], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+
+
 def encode(docs: DataFrame, tokenizer: str | None = None, packed: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) for every row of ``docs``.
 
@@ -282,17 +310,10 @@ def encode(docs: DataFrame, tokenizer: str | None = None, packed: bool = False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
-        for batch in batches:
-            texts = batch.column("text")
-            for low, high in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
-                got = encoder.encode(utf8(texts.slice(low, high - low)))
-                n = np.array([len(g[0]) // 4 for g in got], dtype=np.int64)
-                if packed:
-                    ids = pa.array([g[0] for g in got], pa.binary())
-                else:
-                    flat = np.frombuffer(b"".join([g[0] for g in got]), dtype="<i4")
-                    ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), pa.array(n), ids, pa.array([g[1] for g in got], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+        try:
+            yield from _encoded(encoder, batches, packed)
+        finally:
+            encoder.forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id long, n_tokens long, ids {kind}, decoded string")
