@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -151,9 +152,9 @@ def run(spark: SparkSession, agg: Aggregation, config: QueryCacheConfig) -> tupl
     large = hit and entry.get().table is None
     got = None if large else state.limit(config.driver_rows + 1).toArrow()
     if got is not None and got.num_rows <= config.driver_rows:
-        old = got.filter(pa.compute.invert(got.column(TAIL)))
+        old = got.filter(pc.invert(got.column(TAIL))) if got.num_rows else got
         stored = State(schema, table=old.drop_columns([TAIL]), version=STATE_VERSION)
-        result = spark.createDataFrame(got, schema=whole)
+        result = State(whole, table=got).frame(spark)
         stats.fresh_rows, stats.stored_rows = got.num_rows, old.num_rows
     else:
         path = _folder(spark)

@@ -25,7 +25,7 @@ class State:
 
     def frame(self, spark: SparkSession) -> DataFrame:
         if self.table is not None:
-            return spark.createDataFrame(self.table, schema=self.schema)
+            return spark.createDataFrame(self.table if self.table.num_rows else [], schema=self.schema)
         return spark.read.schema(self.schema).parquet(self.path)
 
 
