@@ -189,14 +189,25 @@ def _linked(radius: int):
     return links
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, parts: int = 4, bins: int = 1 << 16, cell_rows: int = 8192) -> DataFrame:
+def plan(n: int, radius: int) -> int:
+    """The number of partitions for n fingerprints: the most that leave at most 16 fingerprints to a value, on average.
+
+    Fewer partitions have more bits each, so a probe meets fewer fingerprints by chance, but probes more values.
+    """
+    parts = radius + 1
+    while parts > 2 and n > 16 << (BITS // parts):
+        parts -= 1
+    return parts
+
+
+def near_duplicates(docs: DataFrame, radius: int = 3, parts: int | None = None, bins: int = 1 << 16, cell_rows: int = 8192) -> DataFrame:
     """(doc_id, fingerprint string, component_id): documents whose fingerprints differ in up to ``radius`` bits.
 
     component_id is the smallest doc_id that links reach. Words are split at ASCII white space after A-Z is
     lower-cased; shingles have three words; a text without words, null included, has the fingerprint zero and
     links like any other. Rows that repeat a doc_id each come back. A row without doc_id comes back with a
     null component_id and takes part in no link. Other columns of ``docs`` are ignored; an empty table gives
-    an empty result. Only bit counts, pair counts of bits and ``parts`` histograms of ``bins`` numbers reach
+    an empty result. ``parts`` None chooses by the number of fingerprints. Only bit counts, pair counts of bits and ``parts`` histograms of ``bins`` numbers reach
     the driver, whatever the input's size.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
@@ -216,6 +227,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, parts: int = 4, bins: int
 
     sums = dict(distinct.select("fp").mapInArrow(bit_counts, "i long, n long").groupBy("i").agg(F.sum("n")).collect())
     stats = np.array([sums.get(i, 0) for i in range(1 + BITS + BITS * BITS)], dtype=np.float64)
+    parts = parts or plan(int(stats[0]), radius)
     groups = correlated_partitions(stats[1 : 1 + BITS], stats[1 + BITS :].reshape(BITS, BITS), int(stats[0]), parts)
     bins = [min(bins, 1 << len(g)) for g in groups]
 
