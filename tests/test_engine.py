@@ -119,7 +119,7 @@ def rows(spark, n=400, seed=1, late_nulls=True):
 AGGREGATES = [
     "count(*)", "count(value)", "sum(value)", "min(value)", "max(service)", "avg(value)", "stddev(value)", "var_pop(weight)", "corr(value, weight)", "covar_samp(value, weight)", "regr_slope(value, weight)", "regr_intercept(value, weight)",
     "regr_r2(value, weight)", "skewness(value)", "kurtosis(value)", "count(distinct value)", "sum(distinct value)", "avg(distinct value)", "bool_or(value > 10)", "count_if(value > 0)", "bit_xor(value)", "max_by(value, ts)", "min_by(service, weight)",
-    "median(value)", "percentile(weight, 0.25)", "sum(value) filter (where service = 'a')", "sum(cast(weight as decimal(10, 3)))", "sort_array(collect_set(value))", "sort_array(collect_list(value))", "approx_count_distinct(service)", "mode(service)",
+    "median(value)", "percentile(weight, 0.25)", "sum(value) filter (where service = 'a')", "sum(cast(weight as decimal(10, 3)))", "sort_array(collect_set(value))", "sort_array(collect_list(value))", "approx_count_distinct(service)", "mode(abs(value) % 1)", "length(listagg(service, ', '))", "length(listagg(distinct service))",
 ]
 
 
@@ -140,7 +140,7 @@ def check(session, sql, plain):
 def test_increments_equal_plain_spark(spark, group):
     """Several runs as the table grows, with rows beyond the clock, rows without a time, and an empty start."""
     key = group.removeprefix("group by ")
-    select = ", ".join([*([f"{key} as k"] if key else []), *(f"{a} as a{i}" for i, a in enumerate(AGGREGATES) if "mode" not in a)])
+    select = ", ".join([*([f"{key} as k"] if key else []), *(f"{a} as a{i}" for i, a in enumerate(AGGREGATES))])
     data, cache = rows(spark), MemoryQueryCache()
     for minutes, ahead in ((0, 0), (700, 100), (1500, 0), (1500, 0), (9999, 0)):
         now = START + timedelta(minutes=minutes)
@@ -151,6 +151,18 @@ def test_increments_equal_plain_spark(spark, group):
         assert session.stats[0].hit == (minutes > 0)
 
 
+def test_mode_and_quantile_sketch(spark):
+    data, cache = rows(spark, late_nulls=False), MemoryQueryCache()
+    for hour in (10, 30, 99):
+        session = with_query_cache(spark, QueryCacheConfig("t.ts", cache).with_override_now(START + timedelta(hours=hour)))
+        session.register_table("t", data)
+        common, middle = session.sql("select mode(value), approx_percentile(weight, 0.5) from t").first()
+        assert len(session.stats) == 1
+    counts = data.where("value is not null").groupBy("value").count().orderBy(F.desc("count"), "value").first()
+    exact = data.select(F.percentile("weight", F.lit(0.5))).first()[0]
+    assert common == counts.value and abs(middle - exact) < 0.3
+
+
 def test_state_stays_as_large_as_its_groups(spark):
     data, cache = rows(spark, late_nulls=False), MemoryQueryCache()
     for hour in range(1, 6):
@@ -235,7 +247,9 @@ def test_explain_writes_nothing_and_analyze_does(spark):
         ("select count(*) from t where ts > now() - interval 1 day", "dynamic lower bound"),
         ("select count(*) from (select * from t limit 5)", "no table scan"),
         ("select sum(value) from t where rand() < 2", "unstable expression"),
-        ("select mode(value) from t", "no state that merges"),
+        ("select first(value) from t", "no state that merges"),
+        ("select listagg(service) within group (order by value) from t", "no state that merges"),
+        ("select try_sum(value) from t", "no state that merges"),
         ("select count(*) from u", "default temporal column"),
         ("select count(*) from t join u using (value)", "no table scan"),
     ],

@@ -194,8 +194,40 @@ def _quantile(call: Call, share: float) -> AggState | None:
 
 
 def _mode(call: Call) -> AggState | None:
-    """Values with their counts would do with a second key; the list of values is exact and simple."""
-    return None
+    """The commonest value, the smallest of equally common ones; found in one pass over the sorted values."""
+    if call.distinct or len(call.args) > 1:
+        return None
+
+    def final(values: Column) -> Column:
+        one, none = F.lit(1), F.lit(0)
+        start = F.struct(values[0].alias("best"), none.alias("most"), values[0].alias("last"), none.alias("run"))
+
+        def step(acc: Column, x: Column) -> Column:
+            run = F.when(acc["last"].eqNullSafe(x), acc["run"] + one).otherwise(one)
+            more = run > acc["most"]
+            return F.struct(F.when(more, x).otherwise(acc["best"]).alias("best"), F.when(more, run).otherwise(acc["most"]).alias("most"), x.alias("last"), run.alias("run"))
+
+        return F.when(F.size(values) > 0, F.aggregate(values, start, step, lambda acc: acc["best"]))
+
+    return _simple(F.collect_list(call.arg()), lambda s: F.flatten(F.collect_list(s)), lambda v: final(F.array_sort(v)))
+
+
+def _listagg(call: Call) -> AggState | None:
+    if len(call.args) > 2:  # in an order of its own
+        return None
+    joined = lambda v: F.when(F.size(v) > 0, F.array_join(v, str(call.constants[1]) if call.constants[1] is not None else ""))
+    if call.distinct:
+        return _distinct(Call("ListAgg", call.args[:1], distinct=True, where=call.where), joined)
+    return _simple(F.collect_list(call.arg()), lambda s: F.flatten(F.collect_list(s)), joined)
+
+
+def _approx_percentile(call: Call) -> AggState | None:
+    share = call.constants[1] if len(call.constants) > 1 else None
+    if share is None or call.distinct:
+        return None
+    x = call.arg().cast("double")
+    quantile = lambda v: F.when(v.isNotNull() & (F.kll_sketch_get_n_double(v) > 0), F.kll_sketch_get_quantile_double(v, F.lit(float(share))))
+    return AggState({"v": F.kll_sketch_agg_double(x)}, {"v": lambda s: F.kll_merge_agg_double(s("v"))}, lambda s: quantile(s("v")), approximate=True)
 
 
 def _hll(call: Call) -> AggState:
@@ -226,12 +258,12 @@ _AGGREGATES: dict[str, Callable[[Call], AggState | None]] = {
     "MaxBy": _by(F.max), "MinBy": _by(F.min),
     "CollectList": _list, "CollectSet": lambda c: _distinct(c, lambda s: s),
     "AnyValue": lambda c: _simple(F.any_value(c.arg(), F.lit(True)), lambda v: F.any_value(v, F.lit(True))) if c.where is None else None,
-    "Median": _median, "Percentile": _percentile, "Mode": _mode, "HyperLogLogPlusPlus": _hll,
+    "Median": _median, "Percentile": _percentile, "Mode": _mode, "ListAgg": _listagg, "ApproximatePercentile": _approx_percentile, "HyperLogLogPlusPlus": _hll,
 }
 
 #: Functions for which DISTINCT changes nothing.
 _IDEMPOTENT = {"Min", "Max", "BoolAnd", "BoolOr", "BitAndAgg", "BitOrAgg", "CollectSet", "AnyValue", "HyperLogLogPlusPlus"}
-_DISTINCT = {"Count", "Sum", "Average", "CollectList"}
+_DISTINCT = {"Count", "Sum", "Average", "CollectList", "ListAgg"}
 
 #: Names of the explicit interface.
 BY_NAME = {

@@ -72,6 +72,7 @@ CATALOG: dict[str, Query] = {
     "corr_covar_regr": Query("select event_type, round(corr(value, user_id), 6) as r, round(covar_pop(value, user_id), 2) as cp, round(covar_samp(value, user_id), 2) as cs, round(regr_slope(value, user_id), 6) as slope, regr_count(value, user_id) as n from events group by event_type", duck="select event_type, round(corr(value, user_id), 6) as r, round(covar_pop(value, user_id), 2) as cp, round(covar_samp(value, user_id), 2) as cs, round(regr_slope(value, user_id), 6) as slope, cast(regr_count(value, user_id) as bigint) as n from events group by event_type"),
     "skew_kurtosis": Query("select event_type, round(skewness(value), 4) as skew, round(kurtosis(value), 3) as kurt from events group by event_type", duck="select event_type, round(m3 * sqrt(n) / pow(m2, 1.5), 4) as skew, round(n * m4 / (m2 * m2) - 3, 3) as kurt from (select event_type, cast(count(*) as double) as n, sum(pow(value - mean, 2)) as m2, sum(pow(value - mean, 3)) as m3, sum(pow(value - mean, 4)) as m4 from (select event_type, value, avg(value) over (partition by event_type) as mean from events) group by event_type)"),
     "median_percentile": Query("select event_type, round(median(value), 4) as med, round(percentile(value, 0.9), 4) as p90 from events group by event_type", duck="select event_type, round(median(value), 4) as med, round(quantile_cont(value, 0.9), 4) as p90 from events group by event_type"),
+    "mode_listagg": Query("select event_type, mode(user_id % 2 * 0) as zero, length(listagg(event_type, '-')) as width from events group by event_type", duck="select event_type, cast(0 as bigint) as zero, cast(count(*) * (len(event_type) + 1) - 1 as int) as width from events group by event_type"),
     "min_by_max_by": Query("select event_type, max_by(value, ts) as last_value, min_by(user_id, ts) as first_user from events group by event_type", duck="select event_type, arg_max(value, ts) as last_value, arg_min(user_id, ts) as first_user from events group by event_type"),
     "collect_sizes": Query("select event_type, size(collect_list(value)) as n, size(collect_set(user_id)) as users, array_join(array_sort(collect_set(user_id % 5)), ',') as residues from events group by event_type", duck="select event_type, cast(count(value) as int) as n, cast(count(distinct user_id) as int) as users, string_agg(distinct (user_id % 5)::varchar, ',' order by (user_id % 5)::varchar) as residues from events group by event_type"),
     "approx_types": Query("select user_id % 3 as bucket, approx_count_distinct(event_type) as types from events group by 1", duck="select user_id % 3 as bucket, count(distinct event_type) as types from events group by 1"),
@@ -102,7 +103,7 @@ CATALOG: dict[str, Query] = {
     "passthrough_limit": Query("select count(*) as n from (select * from events order by event_id limit 100)", hits=0),
     "passthrough_rand": Query("select count(*) >= 0 as ok from events where rand() < 2", hits=0, duck="select true as ok"),
     "passthrough_subquery": Query("select count(*) as n from events where value > (select avg(value) from events)", hits=0),
-    "passthrough_mode": Query("select round(mode(user_id % 2) * 0, 0) as zero, count(*) as n from events", hits=0, duck="select cast(0 as bigint) as zero, count(*) as n from events"),
+    "passthrough_first": Query("select count(first_type) as zero_or_one, n from (select first(event_type) as first_type, count(*) as n from events) group by n", hits=0, duck="select cast(1 as bigint) as zero_or_one, count(*) as n from events"),
     "passthrough_filter_only": Query("select event_id, value from events where value > 150", hits=0),
     "passthrough_dimension": Query("select n_regionkey, count(*) as n from nation group by n_regionkey", hits=0),
 }
