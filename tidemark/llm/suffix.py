@@ -191,26 +191,27 @@ def order_one(symbols: list[int]) -> list[int]:
     return [i - 1 for i in out]
 
 
-def suffix_orders(texts: list[np.ndarray], most: int = 1 << 18) -> Iterator[tuple[int, np.ndarray]]:
-    """(number, suffix array) of each text of symbols; texts of like length go together."""
-    sizes = np.array([len(t) for t in texts])
+def suffix_orders(flat: np.ndarray, starts: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Suffix arrays of texts that lie one after another in ``flat``, each ended by a symbol that counts as its smallest.
+
+    Gives (texts, order): numbers of texts, and for each a row of places in its suffix order, -1 beyond its end.
+    Texts of like length go together.
+    """
+    sizes = np.diff(np.r_[starts, len(flat)])
     by_size = np.argsort(sizes, kind="stable")
     short = by_size[: np.searchsorted(sizes[by_size], TOGETHER, side="right")]
     low = 0
     while low < len(short):
-        high = low + 1
-        while high < len(short) and (high + 1 - low) * sizes[short[high]] <= most:
-            high += 1
+        high = low + max(1, int(np.searchsorted(np.arange(1, len(short) - low + 1) * sizes[short[low:]], most, side="right")))
         rows = short[low:high]
-        symbols = np.zeros((len(rows), sizes[rows[-1]]), dtype=np.int16)
-        for k, r in enumerate(rows):
-            symbols[k, : sizes[r]] = texts[r]
-        order = emit_order(*group_suffixes(symbols, sizes[rows]), sizes[rows])
-        for k, r in enumerate(rows):
-            yield int(r), order[k, : sizes[r]]
+        cols = np.arange(sizes[rows[-1]])
+        inside = cols < sizes[rows][:, None]
+        symbols = np.zeros(inside.shape, dtype=np.int16)
+        symbols[inside] = flat[(starts[rows][:, None] + cols)[inside]]
+        yield rows, emit_order(*group_suffixes(symbols, sizes[rows]), sizes[rows])
         low = high
     for r in by_size[len(short) :]:
-        yield int(r), np.array(order_one(texts[r].tolist()))
+        yield np.array([r]), np.array([order_one(flat[starts[r] : starts[r] + sizes[r]].tolist())])
 
 
 # -- anchors ---------------------------------------------------------------------------------------------------------
@@ -288,11 +289,10 @@ def _anchors(buckets: int):
                 names = dict(zip(batch.column("h1").slice(low, high - low).to_pylist(), utf8(texts.slice(low, high - low)), strict=True))
                 ids = np.array(list(names), dtype=np.int64)
                 text, _, _, anchor = runs_of_windows(list(names.values()))
-                pairs = np.unique(np.rec.fromarrays([anchor, text.astype(np.int32)], names="a,t"))
-                rows = list(_deal(pairs.a % _U(buckets)))
+                rows = list(_deal(anchor % _U(buckets)))
                 if rows:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([b for b, _ in rows]), _binary([pairs.a[i] for _, i in rows]), _binary([ids[pairs.t[i]] for _, i in rows])], names=["bucket", "anchors", "names"]
+                        [pa.array([b for b, _ in rows]), _binary([anchor[i] for _, i in rows]), _binary([ids[text[i]] for _, i in rows])], names=["bucket", "anchors", "names"]
                     )
 
     return run
@@ -345,9 +345,10 @@ def _strings(buckets: int):
                 split = [np.frombuffer(b"".join(x), dtype="<i4") for x in batch.column("splits").slice(low, high - low).to_pylist()]
                 owner = np.repeat(np.arange(len(own)), [len(k) for k in known])
                 known, split = np.concatenate(known), np.concatenate(split)
-                order = np.lexsort((known, owner))
-                table = np.rec.fromarrays([owner[order], known[order]], names="t,a")
-                wanted = np.rec.fromarrays([text, anchor], names="t,a")
+                # One number for text and anchor; a chance hit only adds a string that no other text shares.
+                table = _mixed(known + owner.astype(_U) * _U(_BASE))
+                order = np.argsort(table)
+                table, wanted = table[order], _mixed(anchor + text.astype(_U) * _U(_BASE))
                 at = np.minimum(np.searchsorted(table, wanted), max(len(table) - 1, 0))
                 found = table[at] == wanted if len(table) else np.zeros(len(text), dtype=bool)
                 text, first, count, anchor, split = text[found], first[found], count[found], anchor[found], split[order][at[found]]
@@ -421,34 +422,36 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _judge_groups(groups, anchor_at, in_group, head, begins, sizes, body, judges, least, early) -> None:
     """Orders the suffixes of each group's strings; windows that are equal stand together."""
-    members = [np.arange(anchor_at[g], anchor_at[g] + in_group[g]) for g in groups]
-    texts = []
-    for own in members:
-        parts = []
-        for s in own:
-            r = head[s]
-            parts += [body[begins[r] : begins[r] + sizes[r]].astype(np.int16) + 1, np.zeros(1, dtype=np.int16)]
-        texts.append(np.concatenate(parts))
-    for k, order in suffix_orders(texts):
-        own, symbols = members[k], texts[k]
-        lengths = sizes[head[own]]
-        start = np.cumsum(lengths + 1) - (lengths + 1)
-        which = np.repeat(np.arange(len(own)), lengths + 1)
-        offset = np.arange(len(symbols)) - start[which]
-        window = offset <= lengths[which] - LENGTH
-        at = order[window[order]]
-        views = np.lib.stride_tricks.sliding_window_view(symbols, LENGTH)
+    number = np.repeat(np.arange(len(groups)), in_group[groups])
+    first_of = np.cumsum(in_group[groups]) - in_group[groups]
+    own = anchor_at[groups][number] + np.arange(len(number)) - first_of[number]  # strings, group by group
+    lengths = sizes[head[own]]
+    begin = np.cumsum(lengths + 1) - (lengths + 1)
+    which = np.repeat(np.arange(len(own)), lengths + 1)
+    offset = np.arange(len(which)) - begin[which]
+    flat = np.zeros(len(which), dtype=np.int16)  # 0 ends each string
+    letter = offset < lengths[which]
+    flat[letter] = body[(begins[head[own]][which] + offset)[letter]].astype(np.int16) + 1
+    window = offset <= lengths[which] - LENGTH
+    hashed = np.r_[_rolled(flat, LENGTH), np.zeros(LENGTH - 1, dtype=_U)]
+    views = np.lib.stride_tricks.sliding_window_view(flat, LENGTH)
+    mine, starts = least[own][which], begin[first_of]
+    for rows, order in suffix_orders(flat, starts):
+        inside = order >= 0
+        at = (starts[rows][:, None] + order)[inside]
+        text = np.repeat(np.arange(len(rows)), inside.sum(axis=1))
+        keep = window[at]
+        at, text = at[keep], text[keep]
+        same = np.flatnonzero((hashed[at[1:]] == hashed[at[:-1]]) & (text[1:] == text[:-1]))
         differs = np.ones(len(at), dtype=bool)
-        for low in range(0, len(at) - 1, 1 << 15):
-            a, b = at[low : low + (1 << 15)], at[low + 1 : low + 1 + (1 << 15)]
-            differs[low + 1 : low + 1 + len(b)] = (views[a[: len(b)]] != views[b]).any(axis=1)
+        for low in range(0, len(same), 1 << 15):
+            some = same[low : low + (1 << 15)]
+            differs[some + 1] = (views[at[some]] != views[at[some + 1]]).any(axis=1)
         class_at = np.flatnonzero(differs)
-        small = np.minimum.reduceat(least[own][which[at]], class_at)
-        small = np.repeat(small, np.diff(np.r_[class_at, len(at)]))
-        late = at[small < least[own][which[at]]]
+        small = np.repeat(np.minimum.reduceat(mine[at], class_at), np.diff(np.r_[class_at, len(at)]))
+        late = at[small < mine[at]]
         np.bitwise_or.at(early, own[which[late]], np.uint32(1) << offset[late].astype(np.uint32))
-    for own in members:
-        early[own] &= judges[head[own]]
+    early[own] &= judges[head[own]]
 
 
 # -- the operator ----------------------------------------------------------------------------------------------------
