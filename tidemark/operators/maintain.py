@@ -96,10 +96,13 @@ def merged_state(agg: Aggregation, state: DataFrame, by: list[str]) -> DataFrame
     return state.groupBy(*by).agg(*columns)
 
 
-def finished(agg: Aggregation, state: DataFrame) -> DataFrame:
-    """Columns k0, k1, ... and a0, a1, ...: the aggregation's result. Without keys there is one row, even of no rows."""
+def finished(agg: Aggregation, state: DataFrame, merged: bool = False) -> DataFrame:
+    """Columns k0, k1, ... and a0, a1, ...: the aggregation's result. Without keys there is one row, even of no rows.
+
+    ``merged`` says that no key has two rows of state, so that nothing needs to be grouped any more.
+    """
     keys = [f"k{i}" for i in range(len(agg.keys))]
-    merged = merged_state(agg, state, keys)
+    merged = state if merged else merged_state(agg, state, keys)
     out = [F.col(k) for k in keys]
     for i, s in enumerate(agg.states):
         field = lambda name, i=i: F.col(f"s{i}_{name}")
@@ -131,13 +134,14 @@ def run(spark: SparkSession, agg: Aggregation, config: QueryCacheConfig) -> tupl
     """
     now = truncated(config.clock(), agg.temporal_type)
     entry = config.cache.entry(agg.fingerprint)
-    schema = _stored_schema(partial_state(agg, agg.base, now).schema)
-    hit = usable(entry, schema)
-    bound = entry.timestamp() if hit else None
+    bound = entry.timestamp() if isinstance(entry, OccupiedEntry) else None
     # An older clock than the stored one adds nothing to the store; all later rows are then computed anew.
+    state = partial_state(agg, fresh_rows(agg, bound), now if bound is None else max(now, bound))
+    schema = _stored_schema(state.schema)
+    hit = usable(entry, schema)
+    if bound is not None and not hit:
+        bound, state = None, partial_state(agg, agg.base, now)
     advance = not hit or now > bound
-    split = now if advance else bound
-    state = partial_state(agg, fresh_rows(agg, bound), split)
     stats = CacheStats(agg.fingerprint, hit, lower_bound=bound, now=now)
     keys = [f"k{i}" for i in range(len(agg.keys))]
     if hit:
@@ -150,11 +154,14 @@ def run(spark: SparkSession, agg: Aggregation, config: QueryCacheConfig) -> tupl
     whole = T.StructType([*schema.fields, T.StructField(TAIL, T.BooleanType())])
     state = state.select(*names)
     large = hit and entry.get().table is None
-    got = None if large else state.limit(config.driver_rows + 1).toArrow()
+    bounded = state if not agg.keys else state.limit(config.driver_rows + 1)
+    got = None if large else bounded.toArrow()
+    merged = False
     if got is not None and got.num_rows <= config.driver_rows:
         old = got.filter(pc.invert(got.column(TAIL))) if got.num_rows else got
         stored = State(schema, table=old.drop_columns([TAIL]), version=STATE_VERSION)
-        result = State(whole, table=got).frame(spark)
+        result = State(whole, table=got).frame(spark).coalesce(1)
+        merged = old.num_rows in (0, got.num_rows) and (got.num_rows > 0 or bool(agg.keys))
         stats.fresh_rows, stats.stored_rows = got.num_rows, old.num_rows
     else:
         path = _folder(spark)
@@ -167,7 +174,7 @@ def run(spark: SparkSession, agg: Aggregation, config: QueryCacheConfig) -> tupl
     if advance:
         entry.put(now, stored)
         stats.stored = True
-    return finished(agg, result), stats
+    return finished(agg, result, merged), stats
 
 
 def _folder(spark: SparkSession) -> str:
