@@ -53,7 +53,7 @@ found AS (SELECT g.rid, g.i, g.n, p.item_id FROM grams g JOIN phrases p ON g.p =
 hits AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS pos FROM found) GROUP BY rid),
 named AS (SELECT rid, list_sort(list(DISTINCT item_id::VARCHAR)) AS names FROM found GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(names), 0)::BIGINT AS n_items,
-  sha256(coalesce(array_to_string(names, ','), '')) AS items_sha256, coalesce(len(names), 0) >= 2 AS contaminated, coalesce(names, []) AS item_ids
+  sha256(coalesce(array_to_string(names, ','), '')) AS items_sha256, coalesce(len(names), 0) >= 2 AS contaminated
 FROM d LEFT JOIN hits USING (rid) LEFT JOIN named USING (rid)
 """
 
