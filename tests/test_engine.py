@@ -119,7 +119,7 @@ def rows(spark, n=400, seed=1, late_nulls=True):
 AGGREGATES = [
     "count(*)", "count(value)", "sum(value)", "min(value)", "max(service)", "avg(value)", "stddev(value)", "var_pop(weight)", "corr(value, weight)", "covar_samp(value, weight)", "regr_slope(value, weight)", "regr_intercept(value, weight)",
     "regr_r2(value, weight)", "skewness(value)", "kurtosis(value)", "count(distinct value)", "sum(distinct value)", "avg(distinct value)", "bool_or(value > 10)", "count_if(value > 0)", "bit_xor(value)", "max_by(value, ts)", "min_by(service, weight)",
-    "median(value)", "percentile(weight, 0.25)", "sum(value) filter (where service = 'a')", "sum(cast(weight as decimal(10, 3)))", "sort_array(collect_set(value))", "sort_array(collect_list(value))", "approx_count_distinct(service)", "mode(abs(value) % 1)", "length(listagg(service, ', '))", "length(listagg(distinct service))",
+    "median(value)", "percentile(weight, 0.25)", "sum(value) filter (where service = 'a')", "sum(cast(weight as decimal(10, 3)))", "avg(cast(weight as decimal(10, 3)))", "sum(distinct cast(value as decimal(8, 2)))", "sum(distinct cast(value as tinyint))", "max(cast(value as decimal(8, 2)))", "sort_array(collect_set(value))", "sort_array(collect_list(value))", "approx_count_distinct(service)", "mode(abs(value) % 1)", "length(listagg(service, ', '))", "length(listagg(distinct service))",
 ]
 
 

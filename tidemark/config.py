@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from datetime import UTC, datetime
 
 from .sources.cache import QueryCache
@@ -34,7 +34,6 @@ class QueryCacheConfig:
     allowed_lateness: int = 0
     immutable_joins: bool = False
     driver_rows: int = 50_000
-    extra: dict = field(default_factory=dict, compare=False)
 
     def __post_init__(self):
         columns = {c.lower() for c in (*self.temporal_columns, self.default_temporal_column)}

@@ -22,6 +22,7 @@ class Call:
     constants: tuple[object, ...] = ()  # values of literal arguments, None for the others
     distinct: bool = False
     where: Column | None = None
+    arg_type: str = ""  # of the first argument
 
     def arg(self, i: int = 0) -> Column:
         """An argument that is null where the FILTER does not hold."""
@@ -63,8 +64,11 @@ def _distinct(call: Call, final: Callable[[Column], Column]) -> AggState:
 
 def _sum(call: Call) -> AggState:
     if call.distinct:
-        total = lambda s: F.when(F.size(s) > 0, F.aggregate(s, s[0], lambda a, x: a + x) - s[0])
-        return _distinct(call, total)
+        kind = "bigint" if call.arg_type in ("tinyint", "smallint", "int", "bigint") else "double"
+        if call.arg_type.startswith("decimal"):
+            kind = f"decimal(38,{call.arg_type.rstrip(')').split(',')[1]})"
+        add = lambda a, x: (a + x.cast(kind)).cast(kind)
+        return _distinct(call, lambda s: F.when(F.size(s) > 0, F.aggregate(s, F.lit(0).cast(kind), add)))
     return _simple(F.sum(call.arg()), F.sum)
 
 

@@ -73,8 +73,8 @@ def walk(expression) -> Iterator:
 def alias(spark: SparkSession, expression, attribute):
     """``expression`` under the identity of ``attribute``, so that plans above still find it."""
     jvm = spark._jvm
-    option = getattr(getattr(jvm, "scala"), "Option")
-    return jvm.org.apache.spark.sql.catalyst.expressions.Alias(expression, attribute.name(), attribute.exprId(), attribute.qualifier(), option.empty(), seq(spark, []).toList(), )
+    nothing = jvm.scala.Option.empty()
+    return jvm.org.apache.spark.sql.catalyst.expressions.Alias(expression, attribute.name(), attribute.exprId(), attribute.qualifier(), nothing, seq(spark, []).toList())
 
 
 def project(spark: SparkSession, expressions: list, plan):

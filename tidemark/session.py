@@ -6,6 +6,7 @@ import hashlib
 import json
 import threading
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,10 +54,15 @@ class CachedSession:
                 self._note(found)
                 if found.aggregation is None:
                     continue
-                result, stats = run(self.spark, found.aggregation, self.config)
+                try:
+                    result, stats = run(self.spark, found.aggregation, self.config)
+                    new = planner.replacement(found, result)
+                except AnalysisException as e:  # a state that this aggregate's types do not allow
+                    self.log.warn(found.fingerprint, f"state cannot be computed, caching not possible: {str(e).splitlines()[0]}")
+                    continue
                 self.log.info(found.fingerprint, f"cache entry hit: {str(stats.hit).lower()}")
                 self.stats.append(stats)
-                done.append((found, planner.replacement(found, result)))
+                done.append((found, new))
             return catalyst.frame(self.spark, planner.spliced(plan, done)) if done else df
 
     def _note(self, found: Candidate) -> None:
