@@ -19,12 +19,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import slices, tidy, utf8
 
 #: One cut in so many bytes, on average.
 CHUNK_BYTES = 256
 #: Kept chunks and pieces for each task; a full store is emptied, and so are all when the task ends.
-KEPT_CHUNKS, KEPT_PIECES = 12_000, 150_000
+KEPT_CHUNKS, KEPT_PIECES = 6_000, 90_000
+#: Texts are encoded in slices of about so many bytes.
+ENCODED_BYTES = 3 << 17
 
 #: Parts of more bytes than this go through the library.
 LONGEST = 32
@@ -96,7 +98,7 @@ class Merges:
         out: list = [None] * len(parts)
         for low, high in ((0, 6), (6, 10), (10, 16), (16, LONGEST)):
             rows = np.flatnonzero((sizes > low) & (sizes <= high))
-            for some in np.array_split(rows, max(1, len(rows) // 20000)):
+            for some in np.array_split(rows, max(1, len(rows) // 4000)):
                 n, cols = sizes[some], np.arange(high)
                 inside = cols < n[:, None]
                 symbols = np.full((len(some), high + 1), -1, dtype=np.int64)
@@ -286,7 +288,7 @@ def _encoder(path: str) -> Encoder:
 def _encoded(encoder: Encoder, batches: Iterator[pa.RecordBatch], packed: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text")
-        for low, high in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        for low, high in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), ENCODED_BYTES):
             got = encoder.encode(utf8(texts.slice(low, high - low)))
             n = np.array([len(g[0]) // 4 for g in got], dtype=np.int64)
             if packed:
@@ -308,6 +310,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, packed: bool = False)
     path = tokenizer or default_tokenizer()
     kind = "binary" if packed else "array<int>"
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         try:

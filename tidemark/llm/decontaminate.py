@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, utf8
+from .common import Scratch, slices, tidy, utf8
 
 #: Word bytes: 0-9, a-z and all of 80-FF, after A-Z is lower-cased; every other byte separates.
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -38,6 +38,7 @@ def build_index(docs: DataFrame, terms: frozenset[bytes] | None = None) -> DataF
     """
     known = None if terms is None else {t: i for i, t in enumerate(sorted(terms))}
 
+    @tidy
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
@@ -115,6 +116,7 @@ def search(index: DataFrame, items: list[tuple[int, bytes]], window: int = 8, sl
         table[i, : len(g)] = [vocabulary[w] for w in g]
     lengths = (table >= 0).sum(axis=1)
 
+    @tidy
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, local_forest, salted, shuffle_partitions, sorted_runs
+from .common import Scratch, local_forest, salted, shuffle_partitions, sorted_runs, tidy
 from .components import connected_components
 
 #: Bits of a key that hold the table's number.
@@ -111,6 +111,7 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bucket_rows(**cells):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low in range(0, whole.num_rows, 1024):
@@ -136,6 +137,7 @@ def _links(cosine: float, **cells):
     A pair that meets in several cells counts in the first table, and there with the smaller id probing if both do.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in sorted_runs(batches, "cell", ["cell", "side", "key", "rep", "n", "vec"]):
             side, rep = rows["side"], rows["rep"]

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_partitions, slices, sorted_runs, utf8
+from .common import Scratch, shuffle_partitions, slices, sorted_runs, tidy, utf8
 
 #: Shorter lines are removed only if they are equal to an earlier one.
 LEAST_BYTES = 24
@@ -93,6 +93,7 @@ def _text_lines(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[list[byt
         yield low, high, [t.split(b"\n") for t in utf8(texts.slice(low, high - low))]
 
 
+@tidy
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each line that is not blank: where it is, its 128-bit name, and its length."""
     for batch in batches:
@@ -103,6 +104,7 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([batch.column("place").take(pa.array(d)), batch.column("row").take(pa.array(d)), pa.array(i), pa.array(a), pa.array(b), pa.array(n)], names=["place", "row", "line", "a", "b", "size"])
 
 
+@tidy
 def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Half keys of every distinct line of each slice."""
     for batch in batches:
@@ -113,6 +115,7 @@ def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["key", "a", "b"])
 
 
+@tidy
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lines, a = utf8(batch.column("line")), batch.column("a").to_numpy()
@@ -124,6 +127,7 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(cut.astype(np.int32)), pa.array(np.repeat(a[low:high], sizes))], names=["key", "cut", "a"])
 
 
+@tidy
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members of groups in which all lines are within one edit of each other, or of the group's whole line.
 
@@ -168,6 +172,7 @@ def near_lines(rows: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame
     field[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     field = spark.sparkContext.broadcast(field)  # FILTER_BITS / 8 bytes
 
+    @tidy
     def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = field.value
         for batch in batches:

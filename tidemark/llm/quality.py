@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, utf8
+from .common import slices, tidy, utf8
 from .labelled import held_out, sample
 
 _UPPER, _DIGIT = bytes(range(65, 91)), b"0123456789"
@@ -46,6 +46,7 @@ def statistics_of(text: bytes) -> tuple[float, ...]:
 def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` (doc_id, y) and STATISTICS, for every row of ``docs``."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, rows = batch.column("text"), []
@@ -187,6 +188,7 @@ def good_rows(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> Data
     """The rows of ``docs``, with all their columns, whose score is at least ``threshold``; repeated rows stay repeated."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, found = batch.column("row").field("text"), []

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, expand, local_forest, salted, shuffle_partitions, slices, sorted_runs, utf8
+from .common import Scratch, expand, local_forest, salted, shuffle_partitions, slices, sorted_runs, tidy, utf8
 from .components import connected_components
 
 BITS = 64
@@ -42,6 +42,7 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
+@tidy
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text")
@@ -136,6 +137,7 @@ def _bucket_rows(groups: list[list[int]], radius: int, counts: list[np.ndarray])
     options = min(options, near[0].shape[1] - 1)
     flips = [{r: np.array(masks(len(bits), r), dtype=np.int64) for r in range(min(radius, 2) + 1)} for bits in groups]
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low in range(0, whole.num_rows, 4096):
@@ -167,6 +169,7 @@ def _bucket_rows(groups: list[list[int]], radius: int, counts: list[np.ndarray])
 def _linked(radius: int):
     """Verified links of each bucket cell, as a star forest of the rows that a task holds."""
 
+    @tidy
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in sorted_runs(batches, "cell", ["cell", "side", "fp", "rep"]):
             cell, side, fp, rep = rows["cell"], rows["side"], rows["fp"].view(np.uint64), rows["rep"]

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_partitions, slices, utf8
+from .common import Scratch, shuffle_partitions, slices, tidy, utf8
 
 LENGTH, PART = 50, 20
 MOST_WINDOWS = LENGTH - PART + 1
@@ -282,6 +282,7 @@ def _binary(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _anchors(buckets: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
@@ -310,6 +311,7 @@ def _gather(batches: Iterator[pa.RecordBatch], columns: dict[str, str]) -> dict[
 def _shared(hot_texts: int):
     """For each text, its anchors in this partition that other texts have too, with the number of groups for hot ones."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _gather(batches, {"anchors": "<u8", "names": "<i8"})
         order = np.lexsort((got["names"], got["anchors"]))
@@ -335,6 +337,7 @@ def _shared(hot_texts: int):
 def _strings(buckets: int):
     """The strings under shared anchors, with the windows that are to be judged there, dealt by anchor."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
@@ -385,6 +388,7 @@ def _spread(own: list[bytes], text, first, count, anchor, judge, split):
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
+@tidy
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each text, its windows that a smaller document has too: (first window, mask) of runs."""
     kinds = {"anchors": "<u8", "sizes": "<u2", "judges": "<u4", "places": "<i8", "names": "<i8", "firsts": "<u4", "body": "u1"}
@@ -470,6 +474,7 @@ def removed_spans(size: int, copy: bool, firsts: np.ndarray, masks: np.ndarray)
     return list(zip(at[cut].tolist(), (at[np.r_[cut[1:] - 1, len(at) - 1]] + LENGTH).tolist(), strict=True))
 
 
+@tidy
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text")

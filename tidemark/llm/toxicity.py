@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import slices, tidy, utf8
 from .labelled import held_out, sample
 
 WINDOW, STRIDE = 32, 24
@@ -267,6 +267,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 2000, negatives:
 def score(docs: DataFrame, network: Network, threshold: float = 0.5) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, got = batch.column("text"), []
