@@ -1,5 +1,6 @@
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark import MemoryQueryCache, QueryCacheConfig
@@ -40,3 +41,30 @@ def test_windowed_counts(spark, tmp_path):
     query = counts.writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     query.awaitTermination()
     assert [r["count"] for r in spark.table("counts").collect()] == [30] * 4
+
+
+@pytest.mark.parametrize("lateness", [0, 15 * 60_000_000])
+def test_batches_with_lateness_and_disorder(spark, lateness):
+    config = QueryCacheConfig("t.ts", MemoryQueryCache(), allowed_lateness=lateness)
+    feeder = StateFeeder(config, "ts", {"kind": "kind"}, {"n": ("count", F.lit(1)), "s": ("sum", "value")}, "t")
+    whole = rows(spark, 0, 80)
+    want = [("a", 40, sum(range(0, 80, 2))), ("b", 40, sum(range(1, 80, 2)))]
+    for number, (low, high) in enumerate([(0, 10), (40, 60), (10, 40)]):
+        feeder.add(rows(spark, low, high), number)
+    for now in (2_000_000_000_000_000, 2_000_000_000_000_001):
+        out, stats = feeder.result(whole, now)
+        assert stats.hit and sorted(map(tuple, out.collect())) == want
+    feeder.add(rows(spark, 60, 70), 3)  # a result in between has left the state as it was
+    out, stats = feeder.result(whole, 2_000_000_000_000_000)
+    assert stats.hit and stats.lower_bound > 0 and sorted(map(tuple, out.collect())) == want
+
+
+def test_batches_of_dates(spark):
+    def days(low, high):
+        return spark.createDataFrame([(date(2024, 1, 1) + timedelta(days=i // 3), i) for i in range(low, high)], "day date, value long")
+
+    feeder = StateFeeder(QueryCacheConfig("t.day", MemoryQueryCache()), "day", {}, {"n": ("count", F.lit(1)), "s": ("sum", "value")}, "t")
+    for number, (low, high) in enumerate([(0, 7), (7, 14), (14, 20)]):
+        feeder.add(days(low, high), number)
+    out, stats = feeder.result(days(0, 30), 2_000_000_000_000_000)
+    assert stats.hit and out.collect() == [(30, sum(range(30)))]

@@ -126,22 +126,26 @@ def _stored_schema(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType) for f in schema if f.name != TAIL])
 
 
-def run(spark: SparkSession, agg: Aggregation, config: QueryCacheConfig) -> tuple[DataFrame, CacheStats]:
+def run(spark: SparkSession, agg: Aggregation, config: QueryCacheConfig, mode: str = "query", since: int | None = None) -> tuple[DataFrame, CacheStats]:
     """The aggregation's result, lazily, after its state has been computed and stored.
 
     The new rows are read by one job, whose small result is kept in the driver or, beyond ``driver_rows`` groups,
     in files. Rows at or after ``now`` and rows without a time enter the result but not the stored state.
+
+    ``mode`` "feed" says that the rows from ``since`` on are new to the stored state, whatever their times; "read"
+    leaves the stored state as it is.
     """
     now = truncated(config.clock(), agg.temporal_type)
     entry = config.cache.entry(agg.fingerprint)
     bound = entry.timestamp() if isinstance(entry, OccupiedEntry) else None
     # An older clock than the stored one adds nothing to the store; all later rows are then computed anew.
-    state = partial_state(agg, fresh_rows(agg, bound), now if bound is None else max(now, bound))
+    fresh = fresh_rows(agg, since if mode == "feed" else bound)
+    state = partial_state(agg, fresh, now if bound is None else max(now, bound))
     schema = _stored_schema(state.schema)
     hit = usable(entry, schema)
     if bound is not None and not hit:
         bound, state = None, partial_state(agg, agg.base, now)
-    advance = not hit or now > bound
+    advance = mode == "feed" or mode == "query" and (not hit or now > bound)
     stats = CacheStats(agg.fingerprint, hit, lower_bound=bound, now=now)
     keys = [f"k{i}" for i in range(len(agg.keys))]
     if hit:
@@ -172,7 +176,7 @@ def run(spark: SparkSession, agg: Aggregation, config: QueryCacheConfig) -> tupl
             stored = State(schema, table=pa.Table.from_pylist([], schema=_arrow(spark, schema)), version=STATE_VERSION)
         stats.fresh_rows = stats.stored_rows = -1
     if advance:
-        entry.put(now, stored)
+        entry.put(now if bound is None else max(now, bound), stored)
         stats.stored = True
     return finished(agg, result, merged), stats
 

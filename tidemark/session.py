@@ -99,11 +99,11 @@ def with_query_cache(spark: SparkSession, config: QueryCacheConfig, log: Abstrac
     return CachedSession(spark, config, log)
 
 
-def cached_agg(df: DataFrame, config: QueryCacheConfig, temporal: str, keys: dict[str, Column | str] | None = None, aggs: dict[str, tuple] | None = None, name: str = "") -> tuple[DataFrame, CacheStats]:
+def cached_agg(df: DataFrame, config: QueryCacheConfig, temporal: str, keys: dict[str, Column | str] | None = None, aggs: dict[str, tuple] | None = None, name: str = "", **how) -> tuple[DataFrame, CacheStats]:
     """The explicit form: no plan is read. aggs: {"avg_value": ("avg", "value"), "n": ("count", F.lit(1))}.
 
     ``name`` stands for the data in the fingerprint; the caller promises that it only grows, in the order of the
-    column ``temporal``.
+    column ``temporal``. ``how`` goes to ``maintain.run``.
     """
     keys = {k: F.col(v) if isinstance(v, str) else v for k, v in (keys or {}).items()}
     kind = df.schema[temporal].dataType
@@ -115,9 +115,9 @@ def cached_agg(df: DataFrame, config: QueryCacheConfig, temporal: str, keys: dic
         raise ValueError("an aggregate has no state that merges")
     plain = df.groupBy(*(c.alias(k) for k, c in keys.items())).agg(*(_plain(f, args).alias(a) for a, (f, *args) in aggs.items()))
     types = [plain.schema[a].dataType.simpleString() for a in calls]
-    spec = {"name": name, "schema": df.schema.json(), "temporal": temporal, "keys": {k: str(c) for k, c in keys.items()}, "aggs": {a: [f, *map(str, args)] for a, (f, *args) in aggs.items()}, "version": STATE_VERSION}
+    spec = {"name": name, "schema": df.dtypes, "temporal": temporal, "keys": {k: str(c) for k, c in keys.items()}, "aggs": {a: [f, *map(str, args)] for a, (f, *args) in aggs.items()}, "version": STATE_VERSION}
     agg = Aggregation(df, F.col(temporal), kind, list(keys.values()), states, types, hashlib.sha256(json.dumps(spec, sort_keys=True).encode()).hexdigest())
-    result, stats = run(df.sparkSession, agg, config)
+    result, stats = run(df.sparkSession, agg, config, **how)
     names = [*(F.col(f"k{i}").alias(k) for i, k in enumerate(keys)), *(F.col(f"a{i}").alias(a) for i, a in enumerate(calls))]
     return result.select(*names), stats
 

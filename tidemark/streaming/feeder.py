@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import QueryCacheConfig
+from ..operators.maintain import _folder, bound_literal, truncated
 from ..session import cached_agg
 from ..sources.cache import MemoryQueryCache
 
@@ -17,29 +18,54 @@ from ..sources.cache import MemoryQueryCache
 class StateFeeder:
     """Keeps the state of one explicit aggregation up to date with a stream of new rows.
 
-    Batches are added whatever their order; the stored time is one microsecond after the latest row seen, so it is
-    the caller's promise, as everywhere, that later rows have later times. A batch that the stream repeats after a
-    failure is told by its number and added once.
+    Batches are added whatever their order. The stored time is one microsecond after the latest row seen, less
+    ``allowed_lateness``, and a whole day where times are dates; it is the caller's promise, as everywhere, that rows
+    not yet fed have later times. Rows of a batch at or after that time are held back in files and added with a later
+    batch, as a query reads them again. A batch that the stream repeats after a failure is told by its number and
+    added once. Where the store had state before the first batch, rows older than it count as known, and what an
+    earlier feeder held back is not known.
     """
 
     def __init__(self, config: QueryCacheConfig, temporal: str, keys: dict, aggs: dict, name: str):
         self.config, self.temporal, self.spec = config, temporal, {"keys": keys, "aggs": aggs, "name": name}
         self.last_batch = -1
+        self.latest: int | None = None
+        self.held: str | None = None
+        self.fed, self.since = False, None
 
     def add(self, batch: DataFrame, number: int) -> None:
         if number <= self.last_batch:
             return
         latest = batch.agg(F.max(F.unix_micros(F.col(self.temporal).cast("timestamp")))).first()[0]
         if latest is not None:
-            cached_agg(batch, self.config.with_override_now(latest + 1), self.temporal, **self.spec)
+            self._feed(batch, latest if self.latest is None else max(latest, self.latest))
         self.last_batch = number
 
+    def _feed(self, batch: DataFrame, latest: int) -> None:
+        spark, old = batch.sparkSession, self.held
+        rows = batch if old is None else batch.unionByName(spark.read.schema(batch.schema).parquet(old))
+        config, kind = self.config.with_override_now(latest + 1), batch.schema[self.temporal].dataType
+        bound = truncated(config.clock(), kind)
+        # Written before the state is stored, so that a batch that fails here can be repeated.
+        held = None
+        if bound <= latest:
+            held = _folder(spark)
+            rows.where(F.col(self.temporal) >= bound_literal(bound, kind)).write.parquet(held)
+        mode = {"mode": "feed", "since": self.since} if self.fed else {}
+        _, stats = cached_agg(rows, config, self.temporal, **self.spec, **mode)
+        if not self.fed:
+            self.fed, self.since = True, stats.lower_bound
+        self.held, self.latest = held, latest
+        if old is not None:
+            path = spark._jvm.org.apache.hadoop.fs.Path(old)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.add).option("checkpointLocation", checkpoint).trigger(**trigger or {"processingTime": "10 seconds"}).start()
 
     def result(self, rows: DataFrame, now: int):
-        """The aggregation over all of ``rows``, of which only those after the fed ones are read."""
-        return cached_agg(rows, self.config.with_override_now(now), self.temporal, **self.spec)
+        """The aggregation over all of ``rows``, of which only those after the fed ones are read; the state stays as it was fed."""
+        return cached_agg(rows, self.config.with_override_now(now), self.temporal, **self.spec, mode="read")
 
 
 def windowed_counts(stream: DataFrame, temporal: str, width: str, watermark: str, *keys: str) -> DataFrame:
