@@ -84,3 +84,26 @@ def test_recall_at_the_threshold():
     x, y = (lattice.cell_keys(v, tables=tables, blocks=blocks, scale=2.4, probes=5) for v in (a, b))
     met = ((x == y[:, :, :1]).any(axis=2) | (y == x[:, :, :1]).any(axis=2)).any(axis=1)
     assert met.mean() > 0.99
+
+
+@pytest.mark.parametrize("dim", [2, 8, 16, 32])
+@pytest.mark.parametrize("n", [1500, 5_000_000])
+def test_recall_of_short_vectors(dim, n):
+    """The defaults, and the plan for a larger table, find pairs of short vectors as they find those of 64 numbers."""
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(1500, dim))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    g = rng.normal(size=a.shape)
+    g -= (g * a).sum(axis=1)[:, None] * a
+    b = 0.9 * a + math.sqrt(1 - 0.81) * g / np.linalg.norm(g, axis=1)[:, None]
+    blocks, tables = lattice.plan(n)
+    x, y = (lattice.cell_keys(v, tables=tables, blocks=blocks, scale=2.4, probes=5) for v in (a, b))
+    met = ((x == y[:, :, :1]).any(axis=2) | (y == x[:, :, :1]).any(axis=2)).any(axis=1)
+    assert met.mean() > 0.99
+
+
+def test_defaults_on_short_vectors(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(60, 8))
+    rows = [(i, (base[i % 60] + rng.normal(size=8) * 0.2).tolist()) for i in range(120)]
+    assert run(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == brute(rows)

@@ -23,6 +23,8 @@ from .components import connected_components
 
 #: Bits of a key that hold the table's number.
 _TABLE_BITS = 8
+#: The least length of a vector for which the scale of the cells is as given.
+FULL_DIM = 64
 
 
 def decode(x: np.ndarray) -> np.ndarray:
@@ -69,8 +71,13 @@ def plan(n: int) -> tuple[int, int]:
 
 
 def cell_keys(unit: np.ndarray, tables: int, blocks: int, scale: float, probes: int) -> np.ndarray:
-    """keys[vector, table, k]: the home cell at k = 0, then the ``probes`` neighbouring cells nearest to the vector."""
+    """keys[vector, table, k]: the home cell at k = 0, then the ``probes`` neighbouring cells nearest to the vector.
+
+    ``scale`` is for FULL_DIM numbers and more. The projected distance of two vectors grows as their length shrinks,
+    so shorter ones get a smaller scale, and pairs at a cosine meet as often at any length.
+    """
     n, dim = unit.shape
+    scale *= math.sqrt(min(1, dim / FULL_DIM))
     mix = np.random.default_rng(5).integers(1, 1 << 62, 8 * blocks, dtype=np.int64) | 1
     out = np.empty((n, tables, 1 + probes), dtype=np.int64)
     around = neighbours()
