@@ -18,7 +18,7 @@ from ..functions.state import AggState
 from ..sources.cache import CacheEntry, OccupiedEntry, State
 
 #: Goes up when the meaning of stored state changes.
-STATE_VERSION = "1"
+STATE_VERSION = "2"
 
 TAIL = "is_tail"
 
