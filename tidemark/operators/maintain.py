@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
 
@@ -16,6 +14,7 @@ from pyspark.sql import types as T
 from ..config import QueryCacheConfig
 from ..functions.state import AggState
 from ..sources.cache import CacheEntry, OccupiedEntry, State
+from ..sources.folders import own_folder
 
 #: Goes up when the meaning of stored state changes.
 STATE_VERSION = "2"
@@ -169,7 +168,7 @@ def run(spark: SparkSession, agg: Aggregation, config: QueryCacheConfig, mode: s
         stats.fresh_rows, stats.stored_rows = got.num_rows, old.num_rows
     else:
         path = _folder(spark)
-        state.write.partitionBy(TAIL).parquet(path)
+        state.write.mode("append").partitionBy(TAIL).parquet(path)
         result = spark.read.schema(whole).parquet(path)
         stored = State(schema, path=f"{path}/{TAIL}=false", version=STATE_VERSION)
         if not _exists(spark, stored.path):
@@ -182,9 +181,7 @@ def run(spark: SparkSession, agg: Aggregation, config: QueryCacheConfig, mode: s
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder on the shared file system; a local temporary one only where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tidemark"
-    return f"{base.rstrip('/')}/state-{uuid.uuid4().hex}"
+    return own_folder(spark, "state")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

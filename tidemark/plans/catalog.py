@@ -6,8 +6,6 @@ warm result. A warm run that did not do as expected (a hit, or a refusal) raises
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
@@ -19,6 +17,7 @@ from ..config import QueryCacheConfig, micros
 from ..log import MemoryLog
 from ..session import CachedSession, cached_agg, with_query_cache
 from ..sources.cache import MemoryQueryCache, ParquetQueryCache
+from ..sources.folders import own_folder
 
 #: Table: (temporal column, cut).
 GROWING = {"events": ("ts", "2024-01-20"), "lineitem": ("l_shipdate", "2000-01-01"), "orders": ("o_orderdate", "2000-01-01")}
@@ -146,8 +145,7 @@ def _runner(name: str, q: Query) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _store_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='state-')}"
-    return f"{base.rstrip('/')}/query-cache-{uuid.uuid4().hex}"
+    return own_folder(spark, "query-cache")
 
 
 def _cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

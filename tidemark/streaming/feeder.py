@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,6 +10,7 @@ from ..config import QueryCacheConfig
 from ..operators.maintain import _folder, bound_literal, truncated
 from ..session import cached_agg
 from ..sources.cache import MemoryQueryCache
+from ..sources.folders import own_folder
 
 
 class StateFeeder:
@@ -50,7 +48,7 @@ class StateFeeder:
         held = None
         if bound <= latest:
             held = _folder(spark)
-            rows.where(F.col(self.temporal) >= bound_literal(bound, kind)).write.parquet(held)
+            rows.where(F.col(self.temporal) >= bound_literal(bound, kind)).write.mode("append").parquet(held)
         mode = {"mode": "feed", "since": self.since} if self.fed else {}
         _, stats = cached_agg(rows, config, self.temporal, **self.spec, **mode)
         if not self.fed:
@@ -81,8 +79,7 @@ def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     feeder = StateFeeder(config, "ts", {"event_type": "event_type"}, {"n": ("count", F.lit(1)), "total": ("sum", "value"), "high": ("max", "value")}, "events")
     stream = spark.readStream.schema(rows.schema).parquet(f"{path}*")  # a stream's path is a pattern of files or folders
     cut = F.lit("2024-01-20").cast("timestamp_ntz")
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='feed-')}"
-    query = feeder.start(stream.where(F.col("ts") < cut), f"{base.rstrip('/')}/feed-{uuid.uuid4().hex}", availableNow=True)
+    query = feeder.start(stream.where(F.col("ts") < cut), own_folder(spark, "feed"), availableNow=True)
     query.awaitTermination()
     out, stats = feeder.result(rows, 1_900_000_000_000_000)
     assert stats.hit
