@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,8 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import delete, own_folder
+
 #: Text is handed to numpy in slices of about so many bytes, which bounds a worker's memory.
 SLICE_BYTES = 1 << 20
+#: A table of at most so many rows of a few numbers is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,36 +25,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Scratch:
-    """Intermediate tables in the shared folder named by ``spark.checkpoint.dir``.
+    """Intermediate tables in the shared folder, which cut lineage and survive the loss of executors.
 
-    Tables written here cut lineage and survive the loss of executors. Where the setting is unset
-    (tests on one machine) a temporary folder takes its place.
+    A table is deleted when ``drop`` says that nothing reads it any more, the others when the driver ends.
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = f"file://{tempfile.mkdtemp(prefix='scratch-')}"
-            spark.conf.set("spark.checkpoint.dir", base)
-        self.base = f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-        self.n = 0
+        self.spark, self.base, self.n = spark, own_folder(spark, "scratch"), 0
 
     def path(self) -> str:
         self.n += 1
         return f"{self.base}/{self.n}"
 
-    def save(self, df: DataFrame) -> DataFrame:
-        path = self.path()
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
+    def save(self, df: DataFrame, path: str | None = None) -> DataFrame:
+        """``df`` written and read again; ``path`` adds it to a table that is there."""
+        at = path or self.path()
+        df.write.mode("append").parquet(at)
+        out = self.spark.read.schema(df.schema).parquet(at)
+        out._scratch_path = at
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a saved table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            delete(self.spark, df._scratch_path)
 
 
 def release_memory() -> None:
@@ -161,19 +156,46 @@ def sorted_runs(batches: Iterator[pa.RecordBatch], key: str, names: list[str]) -
         yield {n: t.column(n).to_numpy() for n in names}
 
 
-def salted(rows: DataFrame, key: str, side: str, ident: str, most: int) -> DataFrame:
+def small_or_shuffled(df: DataFrame) -> DataFrame:
+    """``df``, a saved table of a few numbers a row, marked for broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def salted(rows: DataFrame, key: str, side: str, ident: str, most: int, scratch: Scratch) -> DataFrame:
     """Splits the hot groups of a probe/home bucket table into a grid of cells.
 
     ``side`` is 0 for home rows and 1 for probe rows. A group of n rows gets a grid of s x s cells,
     s = ceil(n / most): home rows of column block j go to every cell (i, j), probe rows of row block i to
     every cell (i, j), so each home still meets each probe exactly once. Adds column ``cell``, a hash of
-    key and cell number; groups up to ``most`` rows keep one cell.
+    key and cell number; groups up to ``most`` rows keep one cell. ``rows`` is read twice.
     """
     hot = rows.groupBy(key).agg(F.count("*").alias("n__")).where(F.col("n__") > most)
-    hot = hot.select(key, F.ceil(F.col("n__") / most).cast("int").alias("s__"))
+    hot = scratch.save(hot.select(key, F.ceil(F.col("n__") / most).cast("int").alias("s__")))
     s = F.coalesce("s__", F.lit(1))
     mine = F.pmod(F.xxhash64(F.col(ident), F.lit(7)), s.cast("long")).cast("int")
     every = F.sequence(F.lit(0), s - 1)
     cells = F.when(F.col(side) == 0, F.transform(every, lambda i: i * s + mine)).otherwise(F.transform(every, lambda j: mine * s + j))
-    out = rows.join(hot, key, "left").withColumn("cell__", F.explode(cells))
+    out = rows.join(small_or_shuffled(hot), key, "left").withColumn("cell__", F.explode(cells))
     return out.withColumn("cell", F.when(s == 1, F.col(key)).otherwise(F.xxhash64(key, "cell__"))).drop("s__", "cell__")
+
+
+class BitFilter:
+    """Tells which 64-bit hashes are not in a set. It has 64 bits, or more, for each of up to 4 million; above that it
+    stays at 32 MB and lets more through."""
+
+    LEAST_BITS, MOST_BITS = 20, 28
+
+    def __init__(self, spark: SparkSession, hashes: DataFrame):
+        """``hashes``: a saved table whose only column, ``h``, holds evenly spread numbers."""
+        self.bits = min(max((64 * hashes.count()).bit_length(), self.LEAST_BITS), self.MOST_BITS)
+        low, high = (F.shiftrightunsigned("h", n).bitwiseAND((1 << self.bits) - 1) for n in (0, 64 - self.MOST_BITS))
+        words = hashes.select(F.explode(F.array(low, high)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
+        words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+        field = np.zeros(1 << (self.bits - 6), dtype=np.uint64)
+        field[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+        self.field = spark.sparkContext.broadcast(field)  # 2 ** MOST_BITS / 8 bytes at most
+
+    def maybe(self, hashes: np.ndarray) -> np.ndarray:
+        h, field, last = hashes.view(np.uint64), self.field.value, np.uint64((1 << self.bits) - 1)
+        bit = lambda at: (field[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
+        return bit(h & last) & bit((h >> np.uint64(64 - self.MOST_BITS)) & last) == 1

@@ -251,8 +251,8 @@ def near_duplicates(docs: DataFrame, radius: int = 3, parts: int | None = None,
     for p in range(parts):
         counts[p][value[part == p]] = number[part == p]
 
-    rows = distinct.select("fp", "rep").mapInArrow(_bucket_rows(groups, radius, counts), "key long, side byte, fp long, rep long")
-    cells = salted(rows, "key", "side", "fp", cell_rows).select("cell", "side", "fp", "rep")
+    rows = scratch.save(distinct.select("fp", "rep").mapInArrow(_bucket_rows(groups, radius, counts), "key long, side byte, fp long, rep long"))
+    cells = salted(rows, "key", "side", "fp", cell_rows, scratch).select("cell", "side", "fp", "rep")
     cells = cells.repartition(shuffle_partitions(spark), "cell").sortWithinPartitions("cell", "side")
     links = cells.mapInArrow(_linked(radius), "a long, b long")
     component = connected_components(links, scratch)
