@@ -1,3 +1,4 @@
+import inspect
 import itertools
 import math
 import random
@@ -73,33 +74,50 @@ def test_decode_is_nearest():
         assert (d <= ((x - p - v) ** 2).sum(axis=1) + 1e-9).all()
 
 
-def test_recall_at_the_threshold():
-    rng = np.random.default_rng(3)
-    a = rng.normal(size=(1500, 64))
+def pairs(dim, n=1500):
+    """Vectors, and for each one at a cosine of 0.9."""
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(n, dim))
     a /= np.linalg.norm(a, axis=1)[:, None]
     g = rng.normal(size=a.shape)
     g -= (g * a).sum(axis=1)[:, None] * a
-    b = 0.9 * a + math.sqrt(1 - 0.81) * g / np.linalg.norm(g, axis=1)[:, None]
-    blocks, tables = lattice.plan(1500)
-    x, y = (lattice.cell_keys(v, tables=tables, blocks=blocks, scale=2.4, probes=5) for v in (a, b))
-    met = ((x == y[:, :, :1]).any(axis=2) | (y == x[:, :, :1]).any(axis=2)).any(axis=1)
-    assert met.mean() > 0.99
+    return a, 0.9 * a + math.sqrt(1 - 0.81) * g / np.linalg.norm(g, axis=1)[:, None]
 
 
-@pytest.mark.parametrize("dim", [2, 8, 16, 32])
-@pytest.mark.parametrize("n", [1500, 5_000_000])
-def test_recall_of_short_vectors(dim, n):
-    """The defaults, and the plan for a larger table, find pairs of short vectors as they find those of 64 numbers."""
-    rng = np.random.default_rng(4)
-    a = rng.normal(size=(1500, dim))
-    a /= np.linalg.norm(a, axis=1)[:, None]
-    g = rng.normal(size=a.shape)
-    g -= (g * a).sum(axis=1)[:, None] * a
-    b = 0.9 * a + math.sqrt(1 - 0.81) * g / np.linalg.norm(g, axis=1)[:, None]
+def defaults(n):
+    spec = inspect.signature(lattice.near_duplicates).parameters
     blocks, tables = lattice.plan(n)
-    x, y = (lattice.cell_keys(v, tables=tables, blocks=blocks, scale=2.4, probes=5) for v in (a, b))
+    return {"blocks": blocks, "tables": tables, "scale": spec["scale"].default, "probes": spec["probes"].default}
+
+
+@pytest.mark.parametrize("dim", [2, 8, 16, 32, 64, 128, 384, 768])
+@pytest.mark.parametrize("n", [1500, 5_000_000, 500_000_000])
+def test_recall_at_the_threshold(dim, n):
+    """The defaults, and the plans for larger tables, find pairs of any length."""
+    a, b = pairs(dim, 1500 if n < 1e8 else 500)
+    x, y = (lattice.cell_keys(v, **defaults(n)) for v in (a, b))
     met = ((x == y[:, :, :1]).any(axis=2) | (y == x[:, :, :1]).any(axis=2)).any(axis=1)
-    assert met.mean() > 0.99
+    near = np.bitwise_count((lattice.signatures(a) ^ lattice.signatures(b)).view(np.uint64)).sum(axis=1) <= lattice.most_differing(0.9)
+    assert (met & near).mean() > 0.99
+
+
+@pytest.mark.parametrize(("n", "most"), [(1500, 0.02), (5_000_000, 0.0008), (500_000_000, 0.00005)])
+@pytest.mark.parametrize("dim", [64, 128, 384, 768])
+def test_few_unrelated_vectors_meet(dim, n, most):
+    a, _ = pairs(dim, 700)
+    keys = lattice.cell_keys(a, **defaults(n))
+    met = np.zeros((350, 350), dtype=bool)
+    for t in range(keys.shape[1]):
+        for k in range(keys.shape[2]):
+            met |= keys[:350, t, k][:, None] == keys[350:, t, 0][None, :]
+    assert met.mean() < most
+
+
+def test_signatures_leave_unrelated_vectors_out():
+    a, _ = pairs(64, 1000)
+    s = lattice.signatures(a).view(np.uint64)
+    differ = np.bitwise_count(s[:500, None] ^ s[None, 500:]).sum(axis=2)
+    assert (differ <= lattice.most_differing(0.9)).mean() < 1e-4
 
 
 def test_defaults_on_short_vectors(spark):
