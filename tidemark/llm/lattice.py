@@ -294,9 +294,10 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, scale: float = 3
     meet = salted(rows_of, "key", "side", "cls", cell_rows, scratch).select("cell", "side", "key", "cls", "s0", "s1")
     meet = meet.repartition(shuffle_partitions(spark), "cell").sortWithinPartitions("cell", "side")
     facing = scratch.save(meet.mapInArrow(_partners(most_differing(cosine)), "cell long, side byte, key long, cls long"))
-    meet = facing.join(keyed.select("cls", "n", "vec", "keys"), "cls").repartition(shuffle_partitions(spark), "cell").sortWithinPartitions("cell", "side")
+    facing = salted(facing.withColumnRenamed("cell", "met"), "met", "side", "cls", max(1, cell_rows // 8), scratch)
+    meet = facing.join(keyed.select("cls", "n", "vec", "keys"), "cls").select("cell", "side", "key", "cls", "n", "vec", "keys").repartition(shuffle_partitions(spark), "cell").sortWithinPartitions("cell", "side")
     found = scratch.save(meet.mapInArrow(_links(cosine, tables, probes), "a long, b long, more long"))
-    scratch.drop(keyed, facing)
+    scratch.drop(keyed)
     component = connected_components(found.where("b is not null").select("a", "b"), scratch)
     more = found.where("b is null").groupBy("a").agg(F.sum("more").alias("more"))
     summed = classes.join(component, classes.cls == component.node, "left").join(more, classes.cls == more.a, "left")
