@@ -9,7 +9,7 @@ exact matches (slop 0) or proximity matches, in which up to ``slop`` other words
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -171,19 +171,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, slop: int
     counts the items with such windows and contaminated is n_items >= ``least_items``. A null or empty text has
     no words; an item without id or words is ignored; equal item rows count once by their item_id; rows that
     repeat a doc_id, null included, are judged one by one. Without items nothing is hit. Other columns are
-    ignored. Test text is collected in blocks of ``block_bytes``; the index of the documents is read once for
-    each block, and holds all terms if there are several blocks.
+    ignored. Test text is collected in blocks of ``block_bytes``, one at a time; the index of the documents is read
+    once for each block, and holds all terms if there are several blocks.
     """
     scratch = Scratch(docs.sparkSession)
     n_blocks, blocks = item_blocks(items, block_bytes)
     first = next(blocks)
     terms = frozenset(w for _, text in first for w in words_of(text)) if n_blocks == 1 else None
     index = scratch.save(build_index(docs, terms))
-    found = search(index, first, window, slop)
-    for block in blocks:
-        found = found.union(search(index, block, window, slop))
-    # Occurrences of a document lie in one segment, so each task reduces its own before anything is shuffled.
-    spans = found.mapInArrow(_merge, "segment string, ordinal long, item_ids array<long>, spans array<struct<first:long,last:long>>")
+    # Occurrences of a document lie in one segment, so each task reduces its own before anything is shuffled. The
+    # matches of a block are written before the next block is collected.
+    spans = None
+    for block in chain([first], blocks):
+        found = search(index, block, window, slop).mapInArrow(_merge, "segment string, ordinal long, item_ids array<long>, spans array<struct<first:long,last:long>>")
+        spans = scratch.save(found, spans._scratch_path) if spans is not None else scratch.save(found)
     merged = spans.groupBy("segment", "ordinal").agg(F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     covered = F.aggregate(
         "spans",
