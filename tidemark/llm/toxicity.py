@@ -8,6 +8,7 @@ of a text by a softmax of their logits.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,10 +29,25 @@ TRIGRAMS = 1 << 15
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+#: Longer texts and words go through in parts of about so many bytes.
+PART_BYTES = 1 << 20
+_BREAK = re.compile(rb"[^A-Za-z\x80-\xff]")
+
+
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_WORD).split()
 
 
+def word_parts(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, in parts of about PART_BYTES or one word."""
+    at = 0
+    while at < len(text):
+        found = _BREAK.search(text, at + PART_BYTES)
+        end = found.start() if found else len(text)
+        yield words_of(text[at:end])
+        at = end
+
+
 def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed character trigrams of each word, with a mark at both ends: flat numbers and each word's first place."""
     sizes = np.array([len(w) for w in words], dtype=np.int64)
@@ -69,6 +85,21 @@ class Network:
         means = np.add.reduceat(self.p["chars"][grams], first, axis=0) / counts[:, None]
         return np.hstack([self.p["words"][known], means]), known, grams, first
 
+    def vectors(self, words: list[bytes]) -> np.ndarray:
+        """Input vectors as ``inputs`` gives them, with little memory for long words."""
+        out = np.empty((len(words), WORD_DIM + CHAR_DIM), np.float32)
+        for low, high in slices([len(w) for w in words], PART_BYTES):
+            if len(words[low]) <= PART_BYTES:
+                out[low:high] = self.inputs(words[low:high])[0]
+                continue
+            counts, word = np.zeros(TRIGRAMS), words[low]
+            for at in range(0, len(word), PART_BYTES):
+                piece = (b"\0" if at == 0 else word[at - 1 : at]) + word[at : at + PART_BYTES + 1]
+                counts += np.bincount(trigrams([piece + b"\0" * (len(word) <= at + PART_BYTES)])[0][1:-1], minlength=TRIGRAMS)
+            out[low, :WORD_DIM] = self.p["words"][self.vocabulary.get(word, len(self.vocabulary))]
+            out[low, WORD_DIM:] = counts @ self.p["chars"] / counts.sum()
+        return out
+
     def forward(self, x: np.ndarray, index: np.ndarray, mask: np.ndarray, keep: bool = False):
         """Logits of windows; index[t, window] is the word at step t, mask tells the real ones."""
         steps, n = index.shape
@@ -160,22 +191,43 @@ def _layout(words: list[bytes], counts: list[int]) -> tuple[list[bytes], np.ndar
     return list(seen), text, ids[np.minimum(at, len(ids) - 1)], mask
 
 
+def _window_logits(network: Network, layout: tuple) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, logit) of all windows of a layout, some at a time."""
+    distinct, text, index, mask = layout
+    x = network.vectors(distinct)
+    for low in range(0, len(text), 4096):
+        part = slice(low, low + 4096)
+        yield text[part], network.forward(x, index[:, part], mask[:, part])[0]
+
+
+def _long_logit(network: Network, text: bytes) -> float:
+    """The largest logit of the windows of one long text, of which only some words are held at a time."""
+    best, held, past = -np.inf, [], 0
+    for words in word_parts(text):
+        held += words
+        full = (len(held) - WINDOW) // STRIDE + 1  # windows that no further word can change
+        if full > 0:
+            layout = _layout(held[: (full - 1) * STRIDE + WINDOW], [(full - 1) * STRIDE + WINDOW])
+            best = max([best, *(logit.max() for _, logit in _window_logits(network, layout))])
+            held, past = held[full * STRIDE :], past + full
+    if held and (not past or len(held) > WINDOW - STRIDE):
+        best = max([best, *(logit.max() for _, logit in _window_logits(network, _layout(held, [len(held)])))])
+    return best
+
+
 def scores(network: Network, texts: list[bytes]) -> np.ndarray:
     """The score of each whole text: the largest logit of its windows as a chance; 0 without words."""
-    counts, words = [], []
-    for t in texts:
-        w = words_of(t)
+    counts, words, out = [], [], np.full(len(texts), -np.inf)
+    for i, t in enumerate(texts):
+        w = words_of(t) if len(t) <= PART_BYTES else []
+        if len(t) > PART_BYTES:
+            out[i] = _long_logit(network, t)
         counts.append(len(w))
         words += w
-    out = np.full(len(texts), -np.inf)
     if words:
-        distinct, text, index, mask = _layout(words, counts)
-        x = network.inputs(distinct)[0]
-        for low in range(0, len(text), 4096):
-            part = slice(low, low + 4096)
-            logit, _ = network.forward(x, index[:, part], mask[:, part])
-            np.maximum.at(out, text[part], logit)
-    return 1 / (1 + np.exp(-np.clip(out + network.shift, -60, 60).astype(np.float64))) * (np.array(counts) > 0)
+        for text, logit in _window_logits(network, _layout(words, counts)):
+            np.maximum.at(out, text, logit)
+    return 1 / (1 + np.exp(-np.clip(out + network.shift, -60, 60).astype(np.float64))) * (out > -np.inf)
 
 
 class _Adam:
@@ -257,10 +309,9 @@ def _shift(network: Network, texts: list[bytes], y: np.ndarray) -> float:
     return -float(np.clip(cut[best[len(best) // 2]], -20, 20))
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = 2000, negatives: int = 4000, longest: int = 12_000, **options) -> Network:
-    """Fits on at most ``positives`` + ``negatives`` labelled texts of up to ``longest`` bytes, which bounds what is collected."""
-    short = docs.where(F.octet_length("text") <= longest)
-    got = sample(short, labels, "toxic", positives, negatives).toArrow().sort_by("doc_id")
+def train(docs: DataFrame, labels: DataFrame, positives: int = 2000, negatives: int = 4000, most_chars: int = 12_000, **options) -> Network:
+    """Fits on at most ``positives`` + ``negatives`` labelled texts; of a text longer than ``most_chars`` on pieces spread over it."""
+    got = sample(docs, labels, "toxic", positives, negatives, most_chars).toArrow().sort_by("doc_id")
     return fit(utf8(got.column("text")), got.column("y").to_numpy(), **options)
 
 
@@ -284,7 +335,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **optio
 
     Every overlapping window of a whole text is scored and the worst one counts. A null text, like one without
     words, scores 0. Rows that repeat a doc_id are scored one by one, a null doc_id is not held out, other
-    columns are ignored, an empty table gives an empty result. Without labelled texts of both classes the score
-    is the labels' share (0.01 at least).
+    columns are ignored, an empty table gives an empty result. With fewer than 20 labelled texts that have words, or
+    with texts of one class only, every text with words scores the labels' share (0.01 at least).
     """
     return score(docs, train(docs, labels, **options), threshold)
