@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -52,3 +53,58 @@ def test_odd_labels(spark):
     none = spark.createDataFrame([(1, None), (None, 1), (2, 0), (2, 1)], "doc_id long, quality int")
     assert [round(r.score, 6) for r in quality.classify(docs, none).collect()] == [0.5, 0.5]
     assert quality.classify(docs.limit(0), none).collect() == []
+
+
+def plain_statistics(text):
+    """The statistics counted byte by byte."""
+    n, words, word = len(text), [], bytearray()
+    for b in text + b" ":
+        if b in b" \t\n\r\v\f":
+            if word:
+                words.append(bytes(word))
+            word = bytearray()
+        else:
+            word.append(b)
+    lines, line = [], bytearray()
+    for b in text:
+        if b == 10:
+            lines.append(bytes(line))
+            line = bytearray()
+        else:
+            line.append(b)
+    lines.append(bytes(line))
+    share = lambda test: sum(1 for b in text if test(b)) / n if n else 0.0
+    w = max(len(words), 1)
+    repeated = sum(1 for i in range(1, len(words)) if words[i] == words[i - 1])
+    return (
+        math.log(1 + n), math.log(1 + len(words)), sum(len(x) for x in words) / w, len(lines) / w, share(lambda b: 65 <= b <= 90), share(lambda b: 48 <= b <= 57), share(lambda b: b == 46),
+        share(lambda b: b in b",;:"), share(lambda b: b in b"!?"), share(lambda b: b in b"#$%&*+/<=>@[\\]^_`{|}~"), share(lambda b: b >= 128), len(set(words)) / w, repeated / w, len(set(lines)) / len(lines),
+    )
+
+
+def test_statistics_match_a_plain_count(spark):
+    texts = ["", " \n ", "Hello, World! a a a.\nx = {y} 12\n\nx = {y} 12", "é ñ ü\x0b?", "same same\n" * 50]
+    texts += [r.text for r in table(spark, "/root/testdata/sf0.001", "documents").limit(40).collect()]
+    for t in texts:
+        assert np.allclose(quality.statistics_of(t.encode()), plain_statistics(t.encode()))
+
+
+def test_lasso_weights_are_optimal():
+    """At the optimum the gradient is the penalty, against the sign, where a weight is not zero, and no larger elsewhere."""
+    rng = np.random.default_rng(6)
+    z = (rng.random((2000, 30)) < 0.4).astype(np.float64)
+    y = (rng.random(2000) < 1 / (1 + np.exp(-(2 * z[:, 0] - 3 * z[:, 1] + z[:, 2] - 0.5)))).astype(float)
+    penalty = 5e-3
+    w, bias = quality.fit_lasso(z, y, penalty, rounds=3000)
+    gradient = z.T @ (1 / (1 + np.exp(-(z @ w + bias))) - y) / len(y)
+    used = np.abs(w) > 1e-6
+    assert 3 <= used.sum() < 30
+    assert np.allclose(gradient[used], -penalty * np.sign(w[used]), atol=1e-5) and (np.abs(gradient[~used]) <= penalty + 1e-5).all()
+    assert abs((1 / (1 + np.exp(-(z @ w + bias))) - y).mean()) < 1e-5
+
+
+def test_few_labels_give_their_share(spark):
+    docs = spark.createDataFrame([(i, "text") for i in range(1, 12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 4)) for i in range(1, 12)], "doc_id long, quality int")
+    learnt = [i for i in range(1, 12) if zlib.crc32(str(i).encode()) % 5]
+    assert {round(r.score, 6) for r in quality.classify(docs, labels).collect()} == {round(sum(i < 4 for i in learnt) / len(learnt), 6)}

@@ -151,7 +151,7 @@ def fit_lasso(z: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -
 
 
 def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> RuleModel:
-    """The model for statistics ``x`` and labels ``y``. With fewer than two classes: the labels' share alone."""
+    """The model for statistics ``x`` and labels ``y``. With fewer than 20 rows or two classes: the labels' share alone."""
     if len(y) < 20 or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
         return RuleModel([], [], float(np.log(share / (1 - share))))
@@ -173,7 +173,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **bound
 
     Every whole text is scored by its statistics alone; a null text counts as empty. Rows that repeat a doc_id
     are scored one by one, a null doc_id is not held out, other columns are ignored, an empty table gives an
-    empty result. Without labelled rows of both classes the score is the labels' share (0.5 without any).
+    empty result. With fewer than 20 labelled rows, or with rows of one class only, every score is the labels'
+    share (0.5 without any).
     """
     model = train(docs, labels, **bounds)
     return score(docs, model, threshold)
