@@ -4,12 +4,14 @@ Two lines are within one edit (insert, delete or change a byte) exactly if delet
 the other, or from both at the same place, makes them equal. Lines that could have such a partner are found
 first: one edit leaves the first or the last half of a line as it was, so only lines that share a half with
 another line emit all their one-byte deletions as hashed keys. Lines with equal keys are joined, their edit
-distance is verified, and of all that are close the earliest is kept.
+distance is verified, and of all that are close the earliest is kept. For a bound of k edits, lines share one of
+k + 1 pieces, and emit all deletions of up to k bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_partitions, slices, sorted_runs, tidy, utf8
+from .common import BitFilter, Scratch, shuffle_partitions, slices, sorted_runs, tidy, utf8
 
-#: Shorter lines are removed only if they are equal to an earlier one.
+#: Shorter lines are removed only if they are equal to an earlier one, unless another length is asked for.
 LEAST_BYTES = 24
-#: Bits of the filter that keeps most other lines out of the second scan; the filter has this size for any input.
-FILTER_BITS = 1 << 25
+#: A line of more occurrences is dealt to several tasks.
+HOT_LINES = 2048
+#: Keys of a line that are held at once.
+_KEYS = 1 << 18
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -70,20 +74,98 @@ def half_keys(line: bytes) -> list[int]:
     return out
 
 
-def deletion_keys(line: bytes) -> np.ndarray:
-    """A hash of the line less byte i, for every i, and last a hash of the whole line."""
-    n = len(line)
-    values = (np.frombuffer(line, dtype=np.uint8).astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    values ^= values >> np.uint64(32)
-    power = np.cumprod(np.full(n + 1, _BASE | 1, dtype=np.uint64))
-    before = np.r_[np.uint64(0), np.cumsum(values * power[:n])]
-    after = np.cumsum((values * power[np.maximum(np.arange(n) - 1, 0)])[::-1])[::-1]  # shifted by one place
-    after = np.r_[after, np.uint64(0)]
-    keys = np.r_[before[:n] + after[1:], before[n]]
+def within_edits(a: bytes, b: bytes, most: int) -> bool:
+    """Whether the edit distance of two byte strings is at most ``most``."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    if most == 1:
+        return within_one_edit(a, b)
+    if a == b:
+        return True
+    if not most:
+        return False
+    n, low, high = min(len(a), len(b)), 0, min(len(a), len(b))
+    while low < high:  # length of the common prefix
+        mid = (low + high + 1) // 2
+        if a[:mid] == b[:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    if low == n:
+        return True  # the rest is no longer than the bound
+    a, b = a[low:], b[low:]
+    return within_edits(a[1:], b[1:], most - 1) or within_edits(a[1:], b, most - 1) or within_edits(a, b[1:], most - 1)
+
+
+def piece_keys(line: bytes, edits: int) -> list[int]:
+    """Keys of pieces: lines within ``edits`` share one. Of k + 1 pieces of the shorter line the edits leave one as it was, moved by k bytes at most."""
+    n, out = len(line), set()
+    for m in range(max(0, n - edits), n + 1):  # length of the shorter line of a pair
+        for j in range(edits + 1):
+            low, high = j * m // (edits + 1), (j + 1) * m // (edits + 1)
+            for at in range(-edits, edits + 1):
+                if 0 <= low + at and high + at <= n:
+                    out.add(_signed(xxhash.xxh3_64_intdigest(line[low + at : high + at], m * (edits + 1) + j)))
+    return sorted(out)
+
+
+def _coded(data: np.ndarray) -> np.ndarray:
+    values = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    return values ^ (values >> np.uint64(32))
+
+
+def _powers(first: int, n: int) -> np.ndarray:
+    out = np.full(n, _BASE | 1, dtype=np.uint64)
+    out[:1] = pow(_BASE | 1, first, 1 << 64)
+    return np.cumprod(out)
+
+
+def _closed(keys: np.ndarray, length: int) -> np.ndarray:
     keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     keys ^= keys >> np.uint64(32)
-    length = np.r_[np.full(n, n - 1, dtype=np.uint64), np.uint64(n)]
-    return (keys + length * np.uint64(0x94D049BB133111EB)).view(np.int64)
+    return (keys + np.uint64(length * 0x94D049BB133111EB & _MASK)).view(np.int64)
+
+
+def deletion_key_parts(line: bytes) -> Iterator[np.ndarray]:
+    """deletion_keys in parts, so that a very long line needs little memory."""
+    n, data = len(line), np.frombuffer(line, dtype=np.uint8)
+    parts = [(low, min(n, low + _KEYS)) for low in range(0, n, _KEYS)]
+    total = np.uint64(0)  # of all bytes but the first, each moved one place to the front
+    with np.errstate(over="ignore"):
+        for low, high in parts:
+            rest = data[max(low, 1) : high]
+            total += (_coded(rest) * _powers(max(low, 1) - 1, len(rest))).sum(dtype=np.uint64)
+        before = moved = np.uint64(0)
+        for low, high in parts:
+            values = _coded(data[low:high])
+            held = np.cumsum(values * _powers(low, high - low), dtype=np.uint64)
+            # The first byte of all has no place to move to.
+            shifted = np.r_[np.zeros(int(low == 0), dtype=np.uint64), values[int(low == 0) :] * _powers(max(low, 1) - 1, high - max(low, 1))]
+            gone = moved + np.cumsum(shifted, dtype=np.uint64)
+            yield _closed(before + np.r_[np.uint64(0), held[:-1]] + (total - gone), n - 1)
+            before, moved = before + held[-1], gone[-1]
+    yield _closed(np.array([before], dtype=np.uint64), n)
+
+
+def deletion_keys(line: bytes) -> np.ndarray:
+    """A hash of the line less byte i, for every i, and last a hash of the whole line."""
+    return np.concatenate(list(deletion_key_parts(line)))
+
+
+def all_deletion_keys(line: bytes, edits: int) -> Iterator[list[int]]:
+    """Hashes of the different strings that deleting up to ``edits`` bytes leaves, in parts."""
+    n, seen, out = len(line), set(), []
+    for k in range(min(edits, n) + 1):
+        for gone in combinations(range(n), k):
+            cuts = (-1, *gone, n)
+            key = _signed(xxhash.xxh3_64_intdigest(b"".join([line[a + 1 : b] for a, b in zip(cuts, cuts[1:], strict=False)])))
+            if key not in seen:
+                seen.add(key)
+                out.append(key)
+                if len(out) == _KEYS:
+                    yield out
+                    out = []
+    yield out
 
 
 def _text_lines(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[list[bytes]]]]:
@@ -104,27 +186,77 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([batch.column("place").take(pa.array(d)), batch.column("row").take(pa.array(d)), pa.array(i), pa.array(a), pa.array(b), pa.array(n)], names=["place", "row", "line", "a", "b", "size"])
 
 
-@tidy
-def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Half keys of every distinct line of each slice."""
-    for batch in batches:
-        for _, _, texts in _text_lines(batch):
-            lines = {line for lines in texts for line in lines if len(line) >= LEAST_BYTES and not is_blank(line)}
-            rows = [(k, *_names(line)) for line in lines for k in half_keys(line)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["key", "a", "b"])
+def _candidates(texts: list[list[bytes]], least_bytes: int) -> list[bytes]:
+    """The different lines of a slice that may be near another."""
+    return list({line for lines in texts for line in lines if len(line) >= least_bytes and not is_blank(line)})
+
+
+def _shares(least_bytes: int, edits: int):
+    """Keys of the halves or pieces of every different line of each slice."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, texts in _text_lines(batch):
+                rows = [(k, *_names(line)) for line in _candidates(texts, least_bytes) for k in (half_keys(line) if edits == 1 else piece_keys(line, edits))]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["key", "a", "b"])
+
+    return run
 
 
 @tidy
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, cut, a): the line ``a`` without byte ``cut``; cut -1 is the whole line."""
+    held, size = [], 0
     for batch in batches:
-        lines, a = utf8(batch.column("line")), batch.column("a").to_numpy()
-        for low, high in slices([8 * len(x) for x in lines], 1 << 22):
-            keys = [deletion_keys(x) for x in lines[low:high]]
-            sizes = np.array([len(k) for k in keys])
-            cut = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            cut[np.cumsum(sizes) - 1] = -1  # nothing deleted
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(cut.astype(np.int32)), pa.array(np.repeat(a[low:high], sizes))], names=["key", "cut", "a"])
+        for line, a in zip(utf8(batch.column("line")), batch.column("a").to_pylist(), strict=True):
+            at = 0
+            for keys in deletion_key_parts(line):
+                cut = np.arange(at, at + len(keys), dtype=np.int64)
+                at += len(keys)
+                cut[cut == len(line)] = -1
+                held.append((keys, cut, np.full(len(keys), a)))
+                size += len(keys)
+                if size >= _KEYS:
+                    yield _rows(held)
+                    held, size = [], 0
+    if held:
+        yield _rows(held)
+
+
+def _rows(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["key", "cut", "a"])
+
+
+def _all_variants(edits: int):
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for line, a in zip(utf8(batch.column("line")), batch.column("a").to_pylist(), strict=True):
+                for keys in all_deletion_keys(line, edits):
+                    if keys:
+                        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([a] * len(keys), pa.int64())], names=["key", "a"])
+
+    return run
+
+
+def _near_groups(edits: int):
+    """The lines of each group of equal variants that have an earlier line within ``edits``. A task holds one group at a time."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in sorted_runs(batches, "key", ["key", "place", "number", "a", "b", "line"]):
+            new = np.flatnonzero(np.r_[True, rows["key"][1:] != rows["key"][:-1], True])
+            late = []
+            for low, high in zip(new[:-1], new[1:], strict=True):
+                order = low + np.lexsort((rows["number"][low:high], rows["place"][low:high]))
+                lines, places = rows["line"][order].tolist(), list(zip(rows["place"][order].tolist(), rows["number"][order].tolist(), strict=True))
+                late += [order[i] for i in range(1, len(order)) if any(places[j] < places[i] and within_edits(lines[i], lines[j], edits) for j in range(i))]
+            if late:
+                yield pa.RecordBatch.from_arrays([pa.array(rows["a"][late]), pa.array(rows["b"][late])], names=["a", "b"])
+
+    return run
 
 
 @tidy
@@ -149,7 +281,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = [(key[same], cut[same], a[same]), (key[inserted & several], np.where(cut[inserted & several] == -1, -1, -2), a[inserted & several])]
         for k, c, x in out:
             if len(k):
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c.astype(np.int32)), pa.array(x)], names=["key", "cut", "a"])
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c), pa.array(x)], names=["key", "cut", "a"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,39 +291,39 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
 
 
-def near_lines(rows: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): names of the lines that have an earlier line one edit away. ``first`` has each line's first place."""
+def near_lines(rows: DataFrame, first: DataFrame, scratch: Scratch, least_bytes: int = LEAST_BYTES, edits: int = 1) -> DataFrame:
+    """(a, b): names of the lines that have an earlier line within ``edits``. ``first`` has each line's first place."""
     spark = rows.sparkSession
-    keys = scratch.save(rows.mapInArrow(_halves, "key long, a long, b long"))
+    keys = scratch.save(rows.mapInArrow(_shares(least_bytes, edits), "key long, a long, b long"))
     shared = keys.groupBy("key").agg(F.min(F.struct("a", "b")).alias("x"), F.max(F.struct("a", "b")).alias("y")).where("x != y").select("key")
     candidates = scratch.save(keys.join(shared, "key", "left_semi").select("a", "b").distinct())
-    # A filter of fixed size says which lines of the second scan may be candidates; a join makes it exact.
-    bit = F.explode(F.array(F.col("a").bitwiseAND(FILTER_BITS - 1), F.col("b").bitwiseAND(FILTER_BITS - 1)))
-    words = candidates.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
-    field = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
-    field[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    field = spark.sparkContext.broadcast(field)  # FILTER_BITS / 8 bytes
+    scratch.drop(keys)
+    # A filter of bounded size says which lines of the second scan may be candidates; a join makes it exact.
+    wanted = BitFilter(spark, candidates.select(F.col("a").alias("h")))
 
     @tidy
     def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = field.value
         for batch in batches:
             for _, _, texts in _text_lines(batch):
-                lines = list({line for lines in texts for line in lines if len(line) >= LEAST_BYTES and not is_blank(line)})
+                lines = _candidates(texts, least_bytes)
                 if not lines:
                     continue
                 names = np.array([_names(x) for x in lines], dtype=np.int64)
-                at = (names & (FILTER_BITS - 1)).astype(np.uint64)
-                hit = ((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
-                some = np.flatnonzero(hit)
+                some = np.flatnonzero(wanted.maybe(names[:, 0].copy()))
                 yield pa.RecordBatch.from_arrays([pa.array(names[some, 0]), pa.array(names[some, 1]), pa.array([lines[i] for i in some], pa.binary())], names=["a", "b", "line"])
 
     texts = rows.mapInArrow(maybe, "a long, b long, line binary").join(candidates, ["a", "b"], "left_semi")
     texts = texts.groupBy("a", "b").agg(F.min("line").alias("line")).join(first.select("a", "b", "pos"), ["a", "b"])
     texts = scratch.save(texts)
-    variants = texts.select("a", "line").mapInArrow(_variants, "key long, cut int, a long")
+    if edits > 1:
+        variants = scratch.save(texts.select("a", "line").mapInArrow(_all_variants(edits), "key long, a long").distinct())
+        several = variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        members = variants.join(several, "key", "left_semi").join(texts.select("a", "b", "line", F.col("pos.place").alias("place"), F.col("pos.line").alias("number")), "a")
+        members = members.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
+        return members.mapInArrow(_near_groups(edits), "a long, b long").distinct()
+    variants = texts.select("a", "line").mapInArrow(_variants, "key long, cut long, a long")
     variants = variants.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
-    members = scratch.save(variants.mapInArrow(_classes, "key long, cut int, a long").distinct())
+    members = scratch.save(variants.mapInArrow(_classes, "key long, cut long, a long").distinct())
     placed = members.join(texts, "a")
     # Lines cut at the same place are close to each other; a whole line (-1) is close to all lines cut to it (-2).
     mine = F.struct("pos", "line")
@@ -202,16 +334,42 @@ def near_lines(rows: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame
     return pairs.mapInArrow(_verified, "a long, b long").distinct()
 
 
-def dedup_lines(docs: DataFrame, near: bool = True, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def _spread(places: DataFrame, marked: DataFrame, hot_lines: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the join by line with a column ``part``: a line of over ``hot_lines`` occurrences, or a ten-thousandth of all, has several."""
+    total, most = marked.agg(F.sum("n"), F.max("n")).first()
+    limit = max(hot_lines, (total or 0) // 10_000)
+    if (most or 0) <= limit:
+        return places.withColumn("part", F.lit(0)), marked.withColumn("part", F.lit(0))
+    hot = F.broadcast(marked.where(F.col("n") > limit).select("a", "b", F.ceil(F.col("n") / limit).cast("int").alias("parts")))  # 10,000 rows at most
+    mine = F.pmod(F.xxhash64("place", "row", "line"), F.col("parts").cast("long")).cast("int")
+    places = places.join(hot, ["a", "b"], "left").withColumn("part", F.coalesce(mine, F.lit(0))).drop("parts")
+    parts = F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)
+    return places, marked.join(hot, ["a", "b"], "left").withColumn("part", F.explode(parts)).drop("parts")
+
+
+def _without(text: pa.Array, gone: pa.Array) -> pa.Array:
+    """Each text without the lines whose numbers are gone; null where none are."""
+    out = []
+    for t, numbers in zip(utf8(text), gone, strict=True):
+        if not numbers.is_valid:
+            out.append(None)
+            continue
+        drop = set(numbers.values.to_pylist())
+        out.append(b"\n".join([x for i, x in enumerate(t.split(b"\n")) if i not in drop]).decode())
+    return pa.array(out, pa.string())
+
+
+def dedup_lines(docs: DataFrame, edits: int = 1, keep: tuple[str, ...] = ("doc_id",), least_bytes: int = LEAST_BYTES, hot_lines: int = HOT_LINES) -> DataFrame:
     """The columns ``keep`` of every row of ``docs``, with kept_text, n_lines and n_removed.
 
     Lines end at \\n. A line is removed if an earlier line, by (doc_id, line number), is equal or, for lines of
-    LEAST_BYTES bytes or more and with ``near``, within one edit of its UTF-8 bytes; lines are judged on the input,
-    whether the earlier one is kept or not. Blank lines are always kept. Lines at the same place, in rows that
-    repeat a doc_id, do not count as earlier than each other; a null doc_id comes after all others. A null text
-    has no lines and stays null; a text that loses all its lines becomes empty. Names of lines are 128-bit
+    ``least_bytes`` bytes or more, within ``edits`` edits of its UTF-8 bytes (0: equal lines only); lines are judged
+    on the input, whether the earlier one is kept or not. Blank lines are always kept. Lines at the same place, in
+    rows that repeat a doc_id, do not count as earlier than each other; a null doc_id comes after all others. A null
+    text has no lines and stays null; a text that loses all its lines becomes empty. Names of lines are 128-bit
     hashes. An empty table gives an empty result. If ``docs`` has columns named like the new ones, leave them
-    out of ``keep``.
+    out of ``keep``. A line that occurs often is dealt to several tasks. A line of n bytes that may be near another
+    emits n keys for one edit, and about n ** k / k! for k edits.
     """
     scratch = Scratch(docs.sparkSession)
     text = F.col("text").cast("string")
@@ -219,21 +377,22 @@ def dedup_lines(docs: DataFrame, near: bool = True, keep: tuple[str, ...] = ("do
     rows = docs.select(place.alias("place"), row.alias("row"), text.alias("text"))
     places = scratch.save(rows.mapInArrow(_places, "place long, row long, line long, a long, b long, size long"))
     pos = F.struct("place", "line")
-    first = scratch.save(places.groupBy("a", "b").agg(F.min(pos).alias("pos")))
-    if near:
-        late = near_lines(rows, first, scratch).withColumn("late", F.lit(True))
-        first = first.join(late, ["a", "b"], "left")
+    first = scratch.save(places.groupBy("a", "b").agg(F.min(pos).alias("pos"), F.count("*").alias("n")))
+    if edits:
+        late = near_lines(rows, first, scratch, least_bytes, edits).withColumn("late", F.lit(True))
+        marked = first.join(late, ["a", "b"], "left")
     else:
-        first = first.withColumn("late", F.lit(None).cast("boolean"))
-    judged = places.join(first, ["a", "b"]).where(F.col("late").isNotNull() | (pos > F.col("pos")))
+        marked = first.withColumn("late", F.lit(None).cast("boolean"))
+    marked = scratch.save(marked.where("n > 1 or late"))
+    dealt, marked = _spread(places, marked, hot_lines)
+    judged = dealt.join(marked, ["a", "b", "part"]).where(F.col("late").isNotNull() | (pos > F.col("pos")))
     gone = judged.groupBy("place", "row").agg(F.collect_set("line").alias("gone__"))
     whole = docs.select(*keep, place.alias("place__"), row.alias("row__"), text.alias("text__"))
     joined = whole.join(gone.select(F.col("place").alias("place__"), F.col("row").alias("row__"), "gone__"), ["place__", "row__"], "left")
-    lines = F.split("text__", "\n", -1)
-    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(F.array_contains("gone__", i.cast("long")), None).otherwise(x)), lambda x: x.isNotNull()), "\n")
     touched = F.col("gone__").isNotNull()
+    kept = F.arrow_udf(_without, "string")(F.when(touched, F.col("text__")), F.col("gone__"))
     return joined.select(
-        *keep, F.when(touched, kept).otherwise(F.col("text__")).alias("kept_text"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
+        *keep, F.coalesce(kept, F.col("text__")).alias("kept_text"), F.coalesce(F.size(F.split("text__", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone__"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
