@@ -3,7 +3,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark import MemoryQueryCache, QueryCacheConfig
+from tidemark import MemoryQueryCache, ParquetQueryCache, QueryCacheConfig
 from tidemark.streaming.feeder import StateFeeder, windowed_counts
 
 START = datetime(2024, 1, 1)
@@ -27,7 +27,7 @@ def test_feeder_adds_each_batch_once(spark):
 def test_stream_of_files(spark, tmp_path):
     rows(spark, 0, 40).write.parquet(str(tmp_path / "in/1"))
     rows(spark, 40, 60).write.parquet(str(tmp_path / "in/2"))
-    feeder = StateFeeder(QueryCacheConfig("t.ts", MemoryQueryCache()), "ts", {"kind": "kind"}, {"n": ("count", F.lit(1))}, "t")
+    feeder = StateFeeder(QueryCacheConfig("t.ts", ParquetQueryCache(spark, f"file://{tmp_path}/state")), "ts", {"kind": "kind"}, {"n": ("count", F.lit(1))}, "t")
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1000).parquet(str(tmp_path / "in/*"))
     feeder.start(stream, str(tmp_path / "ck"), availableNow=True).awaitTermination()
     out, stats = feeder.result(rows(spark, 0, 80), 2_000_000_000_000_000)
@@ -68,3 +68,25 @@ def test_batches_of_dates(spark):
         feeder.add(days(low, high), number)
     out, stats = feeder.result(days(0, 30), 2_000_000_000_000_000)
     assert stats.hit and out.collect() == [(30, sum(range(30)))]
+
+
+@pytest.mark.parametrize("lateness", [0, 15 * 60_000_000])
+def test_restarts_go_on_where_the_last_driver_stopped(spark, tmp_path, lateness):
+    """Each batch is added by a feeder and a store of a new driver; batches that had been added are repeated, and come out of order."""
+
+    def feeder():
+        cache = ParquetQueryCache(spark, f"file://{tmp_path}/state")
+        return StateFeeder(QueryCacheConfig("t.ts", cache, allowed_lateness=lateness), "ts", {"kind": "kind"}, {"n": ("count", F.lit(1)), "s": ("sum", "value"), "d": ("mode", "value")}, "t")
+
+    whole = rows(spark, 0, 80)
+    for number, (low, high) in [(0, (30, 60)), (1, (0, 10)), (1, (0, 10)), (0, (30, 60)), (2, (10, 30)), (2, (10, 30))]:
+        feeder().add(rows(spark, low, high), number)
+    out, stats = feeder().result(whole, 2_000_000_000_000_000)
+    assert stats.hit and stats.lower_bound > 0 and sorted(map(tuple, out.collect())) == [("a", 40, sum(range(0, 80, 2)), 0), ("b", 40, sum(range(1, 80, 2)), 1)]
+
+
+def test_stream_needs_a_store_that_survives(spark, tmp_path):
+    feeder = StateFeeder(QueryCacheConfig("t.ts", MemoryQueryCache()), "ts", {}, {"n": ("count", F.lit(1))}, "t")
+    rows(spark, 0, 4).write.parquet(str(tmp_path / "in"))
+    with pytest.raises(ValueError, match="outlives"):
+        feeder.start(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), str(tmp_path / "ck"), availableNow=True)

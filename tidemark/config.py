@@ -23,7 +23,10 @@ class QueryCacheConfig:
 
     ``allowed_lateness`` (microseconds) keeps the latest rows out of the stored state, so rows that arrive that
     late are still counted. ``immutable_joins`` permits caching over joins whose other sides never change.
-    ``driver_rows`` bounds the state that is kept in the driver; larger state goes to files.
+    ``driver_rows`` and ``driver_bytes`` bound the state that is kept in the driver; larger state goes to files.
+
+    A column without a zone (dates, timestamps without time zone) is taken to show the time of the session's zone.
+    Where that zone puts its clocks back, rows of the repeated hour need an hour of ``allowed_lateness``.
     """
 
     default_temporal_column: str
@@ -34,6 +37,7 @@ class QueryCacheConfig:
     allowed_lateness: int = 0
     immutable_joins: bool = False
     driver_rows: int = 50_000
+    driver_bytes: int = 64 << 20
 
     def __post_init__(self):
         columns = {c.lower() for c in (*self.temporal_columns, self.default_temporal_column)}

@@ -1,6 +1,6 @@
 """The state algebra of aggregates: columns that can be stored, merged with later ones, and finished.
 
-Every aggregate is described by ``State``: ``partial`` aggregates rows to state columns, ``merge`` aggregates state
+Every aggregate is described by ``AggState``: ``partial`` aggregates rows to state columns, ``merge`` aggregates state
 columns of the same name, ``final`` is the result over merged columns. A FILTER clause only changes ``partial``.
 """
 
@@ -30,131 +30,132 @@ class Call:
         return self.args[i] if self.where is None else F.when(self.where, self.args[i])
 
 
+#: About what a row of state takes where nothing else is said.
+ROW_BYTES = 64
+
+
 @dataclass(frozen=True)
 class AggState:
+    """How an aggregate is kept.
+
+    Most have a fixed number of columns for each group. Those with a ``value`` are kept as rows instead, one for each
+    group and different value that is not null, with the number of its rows; ``counted`` aggregates the values and
+    their numbers to the column "v". ``row_bytes`` is about what a group's columns take, None if that has no bound.
+    """
+
     partial: dict[str, Column]
     merge: dict[str, Callable[[Callable[[str], Column]], Column]]
     final: Callable[[Callable[[str], Column]], Column]
-    approximate: bool = False
+    value: Column | None = None
+    counted: Callable[[Column, Column], Column] | None = None
+    row_bytes: int | None = ROW_BYTES
 
 
-def _simple(partial: Column, merge: Callable[[Column], Column], final: Callable[[Column], Column] = lambda c: c) -> AggState:
-    return AggState({"v": partial}, {"v": lambda s: merge(s("v"))}, lambda s: final(s("v")))
+def _simple(partial: Column, merge: Callable[[Column], Column], final: Callable[[Column], Column] = lambda c: c, row_bytes: int | None = ROW_BYTES) -> AggState:
+    return AggState({"v": partial}, {"v": lambda s: merge(s("v"))}, lambda s: final(s("v")), row_bytes=row_bytes)
+
+
+def _valued(value: Column, counted: Callable[[Column, Column], Column], final: Callable[[Column], Column] = lambda c: c) -> AggState:
+    return AggState({}, {}, lambda s: final(s("v")), value, counted)
 
 
 def _count(call: Call) -> AggState:
-    present = [F.coalesce(a.isNotNull(), F.lit(False)) for a in call.args]
     if call.distinct:
-        return _distinct(call, lambda s: F.size(s).cast("long"))
+        return _distinct(call, lambda v, n: F.count(v), lambda n: F.coalesce(n, F.lit(0)).cast("long"))
     everything = call.where if call.where is not None else F.lit(True)
-    for p in present:
-        everything = everything & p
+    for a in call.args:
+        everything = everything & F.coalesce(a.isNotNull(), F.lit(False))
     return _simple(F.count(F.when(everything, F.lit(1))), F.sum, lambda n: F.coalesce(n, F.lit(0)).cast("long"))
 
 
-def _distinct(call: Call, final: Callable[[Column], Column]) -> AggState:
-    """The set of values, or of rows of values without a null."""
+def _distinct(call: Call, counted: Callable[[Column, Column], Column], final: Callable[[Column], Column] = lambda c: c) -> AggState:
+    """The different values, or rows of values without a null."""
     value = call.args[0]
     if len(call.args) > 1:
         value = F.struct(*call.args)
     keep = call.where if call.where is not None else F.lit(True)
     for a in call.args:
         keep = keep & a.isNotNull()
-    return _simple(F.collect_set(F.when(keep, value)), lambda s: F.array_distinct(F.flatten(F.collect_list(s))), final)
+    return _valued(F.when(keep, value), counted, final)
 
 
 def _sum(call: Call) -> AggState:
     if call.distinct:
-        kind = "bigint" if call.arg_type in ("tinyint", "smallint", "int", "bigint") else "double"
-        if call.arg_type.startswith("decimal"):
-            kind = f"decimal(38,{call.arg_type.rstrip(')').split(',')[1]})"
-        add = lambda a, x: (a + x.cast(kind)).cast(kind)
-        return _distinct(call, lambda s: F.when(F.size(s) > 0, F.aggregate(s, F.lit(0).cast(kind), add)))
+        return _distinct(call, lambda v, n: F.sum(v))
     return _simple(F.sum(call.arg()), F.sum)
 
 
 def _avg(call: Call) -> AggState:
     if call.distinct:
-        return _distinct(call, lambda s: F.when(F.size(s) > 0, F.aggregate(s, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size(s)))
+        return _distinct(call, lambda v, n: F.avg(v))
     x = call.arg()
     return AggState({"s": F.sum(x), "n": F.count(x)}, {"s": lambda s: F.sum(s("s")), "n": lambda s: F.sum(s("n"))}, lambda s: F.when(s("n") > 0, s("s") / s("n")))
 
 
-def _moments(final: Callable[[Column, Column], Column]) -> Callable[[Call], AggState]:
-    """Count, mean and squared deviations, merged by the parallel formula."""
+def _folded(first: Column, add: Callable[[Column, Column], Column], final: Callable[[Column], Column]) -> AggState:
+    """A struct of numbers with a count ``n``, merged two by two. A group has few rows of state when they are merged: what was kept and what is new."""
+    pick = lambda a, b: F.when(a["n"] == 0, b).when(b["n"] == 0, a).otherwise(add(a, b))
+    merge = lambda rows: F.reduce(F.slice(rows, 2, F.size(rows)), rows[0], pick)
+    return _simple(first, lambda c: F.when(F.size(F.collect_list(c)) > 0, merge(F.collect_list(c))), final)
 
-    def build(call: Call) -> AggState:
-        x = call.arg().cast("double")
-        zero = F.lit(0.0)
-        spread = lambda s: F.sum(s("m2")) + F.sum(s("n") * s("mean") * s("mean")) - _square(F.sum(s("n") * s("mean"))) / _positive(F.sum(s("n")))
-        return AggState(
-            {"n": F.count(x).cast("double"), "mean": F.coalesce(F.avg(x), zero), "m2": F.coalesce(F.var_pop(x) * F.count(x), zero)},
-            {"n": lambda s: F.sum(s("n")), "mean": lambda s: F.coalesce(F.sum(s("n") * s("mean")) / _positive(F.sum(s("n"))), zero), "m2": lambda s: F.greatest(zero, F.coalesce(spread(s), zero))},
-            lambda s: final(s("n"), s("m2")),
-        )
 
-    return build
+def _moments(final: Callable[[Column], Column], most: int = 2) -> Callable[[Call], AggState]:
+    """Count, mean and sums of powers of deviations from the mean; those of two groups are moved to their common mean before they are added."""
 
+    def add(a: Column, b: Column) -> Column:
+        n, na, nb = a["n"] + b["n"], a["n"], b["n"]
+        d = b["mean"] - a["mean"]
+        out = [n.alias("n"), (a["mean"] + d * nb / n).alias("mean"), (a["m2"] + b["m2"] + d * d * na * nb / n).alias("m2")]
+        if most > 2:
+            m3 = a["m3"] + b["m3"] + d * d * d * na * nb * (na - nb) / (n * n) + 3 * d * (na * b["m2"] - nb * a["m2"]) / n
+            m4 = a["m4"] + b["m4"] + d * d * d * d * na * nb * (na * na - na * nb + nb * nb) / (n * n * n)
+            m4 = m4 + 6 * d * d * (na * na * b["m2"] + nb * nb * a["m2"]) / (n * n) + 4 * d * (na * b["m3"] - nb * a["m3"]) / n
+            out += [m3.alias("m3"), m4.alias("m4")]
+        return F.struct(*out)
 
-def _square(c: Column) -> Column:
-    return c * c
+    def build(call: Call) -> AggState:
+        x, zero = call.arg().cast("double"), F.lit(0.0)
+        n, m2 = F.count(x).cast("double"), F.coalesce(F.var_pop(x) * F.count(x), F.lit(0.0))
+        first = [n.alias("n"), F.coalesce(F.avg(x), zero).alias("mean"), m2.alias("m2")]
+        if most > 2:
+            first.append(F.coalesce(F.when(m2 != 0, F.skewness(x) * F.pow(m2, F.lit(1.5)) / F.sqrt(n)), zero).alias("m3"))
+            first.append(F.coalesce(F.when(m2 != 0, (F.kurtosis(x) + 3) * m2 * m2 / n), zero).alias("m4"))
+        return _folded(F.struct(*first), add, final)
 
+    return build
 
-def _positive(c: Column) -> Column:
-    return F.when(c > 0, c)
 
+def _pairs(final: Callable[[Column], Column], swap: bool = False) -> Callable[[Call], AggState]:
+    """The same for two variables, over rows in which both are present. ``swap``: the arguments come as (y, x)."""
 
-def _pairs(final: Callable[[Callable[[str], Column]], Column], swap: bool = False) -> Callable[[Call], AggState]:
-    """Two-variable moments over rows in which both are present. ``swap``: the arguments come as (y, x)."""
+    def add(a: Column, b: Column) -> Column:
+        n = a["n"] + b["n"]
+        dx, dy, part = b["mx"] - a["mx"], b["my"] - a["my"], a["n"] * b["n"] / n
+        return F.struct(
+            n.alias("n"), (a["mx"] + dx * b["n"] / n).alias("mx"), (a["my"] + dy * b["n"] / n).alias("my"),
+            (a["xx"] + b["xx"] + dx * dx * part).alias("xx"), (a["yy"] + b["yy"] + dy * dy * part).alias("yy"), (a["xy"] + b["xy"] + dx * dy * part).alias("xy"),
+        )
 
     def build(call: Call) -> AggState:
         a, b = (call.arg(i).cast("double") for i in (0, 1))
         x, y = (b, a) if swap else (a, b)
         both = x.isNotNull() & y.isNotNull()
         x, y, n, zero = F.when(both, x), F.when(both, y), F.count(F.when(both, F.lit(1))).cast("double"), F.lit(0.0)
-        total = lambda s: _positive(F.sum(s("n")))
-        mean = lambda s, m: F.coalesce(F.sum(s("n") * s(m)) / total(s), zero)
-        cross = lambda s, c, p, q: F.coalesce(F.sum(s(c)) + F.sum(s("n") * s(p) * s(q)) - F.sum(s("n") * s(p)) * F.sum(s("n") * s(q)) / total(s), zero)
-        return AggState(
-            {"n": n, "mx": F.coalesce(F.avg(x), zero), "my": F.coalesce(F.avg(y), zero), "xx": F.coalesce(F.var_pop(x) * n, zero), "yy": F.coalesce(F.var_pop(y) * n, zero), "xy": F.coalesce(F.covar_pop(x, y) * n, zero)},
-            {
-                "n": lambda s: F.sum(s("n")), "mx": lambda s: mean(s, "mx"), "my": lambda s: mean(s, "my"),
-                "xx": lambda s: cross(s, "xx", "mx", "mx"), "yy": lambda s: cross(s, "yy", "my", "my"), "xy": lambda s: cross(s, "xy", "mx", "my"),
-            },
-            final,
+        first = F.struct(
+            n.alias("n"), F.coalesce(F.avg(x), zero).alias("mx"), F.coalesce(F.avg(y), zero).alias("my"),
+            F.coalesce(F.var_pop(x) * n, zero).alias("xx"), F.coalesce(F.var_pop(y) * n, zero).alias("yy"), F.coalesce(F.covar_pop(x, y) * n, zero).alias("xy"),
         )
+        return _folded(first, add, final)
 
     return build
 
 
-def _powers(final: Callable[[Callable[[str], Column]], Column]) -> Callable[[Call], AggState]:
-    """Sums of powers, for skewness and kurtosis."""
-
-    def build(call: Call) -> AggState:
-        x = call.arg().cast("double")
-        partial = {"n": F.count(x).cast("double")} | {f"p{k}": F.coalesce(F.sum(F.pow(x, F.lit(float(k)))), F.lit(0.0)) for k in (1, 2, 3, 4)}
-        return AggState(partial, {k: (lambda s, k=k: F.sum(s(k))) for k in partial}, final)
-
-    return build
+def _skewness(c: Column) -> Column:
+    return F.when(c["m2"] > 0, F.sqrt(c["n"]) * c["m3"] / F.sqrt(c["m2"] * c["m2"] * c["m2"]))
 
 
-def _central(s: Callable[[str], Column]) -> tuple[Column, Column, Column, Column]:
-    n = _positive(s("n"))
-    mean = s("p1") / n
-    m2 = s("p2") - n * mean * mean
-    m3 = s("p3") - 3 * mean * s("p2") + 2 * n * mean * mean * mean
-    m4 = s("p4") - 4 * mean * s("p3") + 6 * mean * mean * s("p2") - 3 * n * mean * mean * mean * mean
-    return n, m2, m3, m4
-
-
-def _skewness(s) -> Column:
-    n, m2, m3, _ = _central(s)
-    return F.when(m2 > 0, F.sqrt(n) * m3 / F.sqrt(m2 * m2 * m2))
-
-
-def _kurtosis(s) -> Column:
-    n, m2, _, m4 = _central(s)
-    return F.when(m2 > 0, n * m4 / (m2 * m2) - 3)
+def _kurtosis(c: Column) -> Column:
+    return F.when(c["m2"] > 0, c["n"] * c["m4"] / (c["m2"] * c["m2"]) - 3)
 
 
 def _by(pick: Callable[[Column], Column]) -> Callable[[Call], AggState]:
@@ -169,52 +170,28 @@ def _by(pick: Callable[[Column], Column]) -> Callable[[Call], AggState]:
 
 
 def _list(call: Call) -> AggState:
+    """Values in the order in which they were kept: older state first; Spark promises none."""
     if call.distinct:
-        return _distinct(call, lambda s: s)
-    return _simple(F.collect_list(call.arg()), lambda s: F.flatten(F.collect_list(s)))
+        return _distinct(call, lambda v, n: F.collect_set(v))
+    return _simple(F.collect_list(call.arg()), lambda s: F.flatten(F.collect_list(s)), row_bytes=None)
 
 
-def _median(call: Call) -> AggState:
-    return _quantile(call, 0.5)
+def _median(call: Call) -> AggState | None:
+    return None if call.distinct else _valued(call.arg(), lambda v, n: F.percentile(v, 0.5, n))
 
 
 def _percentile(call: Call) -> AggState | None:
-    share = call.constants[1] if len(call.constants) > 1 else None
-    if share is None or isinstance(share, list | tuple) or len(call.constants) > 2 and call.constants[2] != 1:
-        return None
-    return _quantile(call, float(share))
-
-
-def _quantile(call: Call, share: float) -> AggState | None:
-    if call.distinct:
+    """Exact percentiles, one or an array of them, of values with their numbers; none where the query gives numbers of its own."""
+    if call.distinct or len(call.constants) > 2 and call.constants[2] != 1:
         return None
-
-    def final(values: Column) -> Column:
-        place = (F.size(values) - 1) * F.lit(share)
-        low, high = F.floor(place).cast("int"), F.ceil(place).cast("int")
-        a, b = F.get(values, low).cast("double"), F.get(values, high).cast("double")
-        return F.when(F.size(values) > 0, a + (b - a) * (place - low))
-
-    return _simple(F.collect_list(call.arg()), lambda s: F.flatten(F.collect_list(s)), lambda v: final(F.array_sort(v)))
+    return _valued(call.arg(), lambda v, n: F.percentile(v, call.args[1], n))
 
 
 def _mode(call: Call) -> AggState | None:
-    """The commonest value, the smallest of equally common ones; found in one pass over the sorted values."""
+    """The commonest value, the smallest of equally common ones."""
     if call.distinct or len(call.args) > 1:
         return None
-
-    def final(values: Column) -> Column:
-        one, none = F.lit(1), F.lit(0)
-        start = F.struct(values[0].alias("best"), none.alias("most"), values[0].alias("last"), none.alias("run"))
-
-        def step(acc: Column, x: Column) -> Column:
-            run = F.when(acc["last"].eqNullSafe(x), acc["run"] + one).otherwise(one)
-            more = run > acc["most"]
-            return F.struct(F.when(more, x).otherwise(acc["best"]).alias("best"), F.when(more, run).otherwise(acc["most"]).alias("most"), x.alias("last"), run.alias("run"))
-
-        return F.when(F.size(values) > 0, F.aggregate(values, start, step, lambda acc: acc["best"]))
-
-    return _simple(F.collect_list(call.arg()), lambda s: F.flatten(F.collect_list(s)), lambda v: final(F.array_sort(v)))
+    return _valued(call.arg(), lambda v, n: F.min(F.when(v.isNotNull(), F.struct((-n).alias("n"), v.alias("v")))), lambda c: c["v"])
 
 
 def _listagg(call: Call) -> AggState | None:
@@ -222,8 +199,8 @@ def _listagg(call: Call) -> AggState | None:
         return None
     joined = lambda v: F.when(F.size(v) > 0, F.array_join(v, str(call.constants[1]) if call.constants[1] is not None else ""))
     if call.distinct:
-        return _distinct(Call("ListAgg", call.args[:1], distinct=True, where=call.where), joined)
-    return _simple(F.collect_list(call.arg()), lambda s: F.flatten(F.collect_list(s)), joined)
+        return _distinct(Call("ListAgg", call.args[:1], distinct=True, where=call.where), lambda v, n: F.collect_set(v), joined)
+    return _simple(F.collect_list(call.arg()), lambda s: F.flatten(F.collect_list(s)), joined, row_bytes=None)
 
 
 def _approx_percentile(call: Call) -> AggState | None:
@@ -236,12 +213,20 @@ def _approx_percentile(call: Call) -> AggState | None:
         return None
     x = call.arg().cast("double")
     quantile = lambda v: F.when(v.isNotNull() & (F.kll_sketch_get_n_double(v) > 0), F.kll_sketch_get_quantile_double(v, F.lit(float(share))))
-    return AggState({"v": F.kll_sketch_agg_double(x, F.lit(size))}, {"v": lambda s: F.kll_merge_agg_double(s("v"), F.lit(size))}, lambda s: quantile(s("v")), approximate=True)
+    return AggState({"v": F.kll_sketch_agg_double(x, F.lit(size))}, {"v": lambda s: F.kll_merge_agg_double(s("v"), F.lit(size))}, lambda s: quantile(s("v")), row_bytes=32 * size)
 
 
-def _hll(call: Call) -> AggState:
+def _hll(call: Call) -> AggState | None:
+    """An HLL sketch whose relative error, 1.04 / sqrt(2 ** size), is at most the one asked for; none where no sketch is that large."""
+    asked = call.constants[1] if len(call.constants) > 1 and call.constants[1] else 0.05
+    size = max(14, math.ceil(2 * math.log2(1.04 / float(asked))))
+    if size > 21:
+        return None
     x = call.arg()
-    return AggState({"v": F.hll_sketch_agg(x.cast("string"), F.lit(14))}, {"v": lambda s: F.hll_union_agg(s("v"))}, lambda s: F.coalesce(F.hll_sketch_estimate(s("v")), F.lit(0)).cast("long"), approximate=True)
+    return AggState(
+        {"v": F.hll_sketch_agg(x.cast("string"), F.lit(size))}, {"v": lambda s: F.hll_union_agg(s("v"))},
+        lambda s: F.coalesce(F.hll_sketch_estimate(s("v")), F.lit(0)).cast("long"), row_bytes=1 << size,
+    )
 
 
 _AGGREGATES: dict[str, Callable[[Call], AggState | None]] = {
@@ -252,20 +237,20 @@ _AGGREGATES: dict[str, Callable[[Call], AggState | None]] = {
     "BoolAnd": lambda c: _simple(F.bool_and(c.arg()), F.bool_and), "BoolOr": lambda c: _simple(F.bool_or(c.arg()), F.bool_or),
     "BitAndAgg": lambda c: _simple(F.bit_and(c.arg()), F.bit_and), "BitOrAgg": lambda c: _simple(F.bit_or(c.arg()), F.bit_or),
     "BitXorAgg": lambda c: None if c.distinct else _simple(F.bit_xor(c.arg()), F.bit_xor),
-    "VariancePop": _moments(lambda n, m: F.when(n > 0, m / n)), "VarianceSamp": _moments(lambda n, m: F.when(n > 1, m / (n - 1))),
-    "StddevPop": _moments(lambda n, m: F.when(n > 0, F.sqrt(m / n))), "StddevSamp": _moments(lambda n, m: F.when(n > 1, F.sqrt(m / (n - 1)))),
-    "CovPopulation": _pairs(lambda s: F.when(s("n") > 0, s("xy") / s("n"))), "CovSample": _pairs(lambda s: F.when(s("n") > 1, s("xy") / (s("n") - 1))),
-    "Corr": _pairs(lambda s: F.when((s("xx") > 0) & (s("yy") > 0), s("xy") / F.sqrt(s("xx") * s("yy")))),
-    "RegrCount": _pairs(lambda s: F.coalesce(s("n"), F.lit(0.0)).cast("long"), swap=True),
-    "RegrAvgX": _pairs(lambda s: F.when(s("n") > 0, s("mx")), swap=True), "RegrAvgY": _pairs(lambda s: F.when(s("n") > 0, s("my")), swap=True),
-    "RegrSXX": _pairs(lambda s: F.when(s("n") > 0, s("xx")), swap=True), "RegrSYY": _pairs(lambda s: F.when(s("n") > 0, s("yy")), swap=True),
-    "RegrSXY": _pairs(lambda s: F.when(s("n") > 0, s("xy")), swap=True),
-    "RegrSlope": _pairs(lambda s: F.when(s("xx") > 0, s("xy") / s("xx")), swap=True),
-    "RegrIntercept": _pairs(lambda s: F.when(s("xx") > 0, s("my") - s("xy") / s("xx") * s("mx")), swap=True),
-    "RegrR2": _pairs(lambda s: F.when(s("xx") > 0, F.when(s("yy") > 0, s("xy") * s("xy") / (s("xx") * s("yy"))).otherwise(F.lit(1.0))), swap=True),
-    "Skewness": _powers(_skewness), "Kurtosis": _powers(_kurtosis),
+    "VariancePop": _moments(lambda c: F.when(c["n"] > 0, c["m2"] / c["n"])), "VarianceSamp": _moments(lambda c: F.when(c["n"] > 1, c["m2"] / (c["n"] - 1))),
+    "StddevPop": _moments(lambda c: F.when(c["n"] > 0, F.sqrt(c["m2"] / c["n"]))), "StddevSamp": _moments(lambda c: F.when(c["n"] > 1, F.sqrt(c["m2"] / (c["n"] - 1)))),
+    "CovPopulation": _pairs(lambda c: F.when(c["n"] > 0, c["xy"] / c["n"])), "CovSample": _pairs(lambda c: F.when(c["n"] > 1, c["xy"] / (c["n"] - 1))),
+    "Corr": _pairs(lambda c: F.when((c["xx"] > 0) & (c["yy"] > 0), c["xy"] / F.sqrt(c["xx"] * c["yy"]))),
+    "RegrCount": _pairs(lambda c: F.coalesce(c["n"], F.lit(0.0)).cast("long"), swap=True),
+    "RegrAvgX": _pairs(lambda c: F.when(c["n"] > 0, c["mx"]), swap=True), "RegrAvgY": _pairs(lambda c: F.when(c["n"] > 0, c["my"]), swap=True),
+    "RegrSXX": _pairs(lambda c: F.when(c["n"] > 0, c["xx"]), swap=True), "RegrSYY": _pairs(lambda c: F.when(c["n"] > 0, c["yy"]), swap=True),
+    "RegrSXY": _pairs(lambda c: F.when(c["n"] > 0, c["xy"]), swap=True),
+    "RegrSlope": _pairs(lambda c: F.when(c["xx"] > 0, c["xy"] / c["xx"]), swap=True),
+    "RegrIntercept": _pairs(lambda c: F.when(c["xx"] > 0, c["my"] - c["xy"] / c["xx"] * c["mx"]), swap=True),
+    "RegrR2": _pairs(lambda c: F.when(c["xx"] > 0, F.when(c["yy"] > 0, c["xy"] * c["xy"] / (c["xx"] * c["yy"])).otherwise(F.lit(1.0))), swap=True),
+    "Skewness": _moments(_skewness, 4), "Kurtosis": _moments(_kurtosis, 4),
     "MaxBy": _by(F.max), "MinBy": _by(F.min),
-    "CollectList": _list, "CollectSet": lambda c: _distinct(c, lambda s: s),
+    "CollectList": _list, "CollectSet": lambda c: _distinct(c, lambda v, n: F.collect_set(v)),
     "AnyValue": lambda c: _simple(F.any_value(c.arg(), F.lit(True)), lambda v: F.any_value(v, F.lit(True))) if c.where is None else None,
     "Median": _median, "Percentile": _percentile, "Mode": _mode, "ListAgg": _listagg, "ApproximatePercentile": _approx_percentile, "HyperLogLogPlusPlus": _hll,
 }
@@ -278,7 +263,9 @@ _DISTINCT = {"Count", "Sum", "Average", "CollectList", "ListAgg"}
 BY_NAME = {
     "count": "Count", "count_if": "CountIf", "sum": "Sum", "avg": "Average", "min": "Min", "max": "Max", "bool_and": "BoolAnd", "bool_or": "BoolOr", "var_pop": "VariancePop", "var_samp": "VarianceSamp",
     "stddev_pop": "StddevPop", "stddev_samp": "StddevSamp", "covar_pop": "CovPopulation", "covar_samp": "CovSample", "corr": "Corr", "skewness": "Skewness", "kurtosis": "Kurtosis", "max_by": "MaxBy", "min_by": "MinBy",
-    "collect_list": "CollectList", "collect_set": "CollectSet", "median": "Median", "approx_count_distinct": "HyperLogLogPlusPlus",
+    "collect_list": "CollectList", "collect_set": "CollectSet", "median": "Median", "approx_count_distinct": "HyperLogLogPlusPlus", "mode": "Mode", "percentile": "Percentile", "any_value": "AnyValue", "bit_and": "BitAndAgg",
+    "bit_or": "BitOrAgg", "bit_xor": "BitXorAgg", "regr_count": "RegrCount", "regr_avgx": "RegrAvgX", "regr_avgy": "RegrAvgY", "regr_sxx": "RegrSXX", "regr_syy": "RegrSYY", "regr_sxy": "RegrSXY", "regr_slope": "RegrSlope",
+    "regr_intercept": "RegrIntercept", "regr_r2": "RegrR2", "listagg": "ListAgg",
 }
 
 

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import UTC, date, datetime
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,7 @@ class Query:
     now: str = LATER
     store: str = "memory"
     lateness: int = 0
+    late: str = ""  # rows that come only with the warm run
 
 
 _DAY = "cast(date_trunc('day', ts) as {ts})"
@@ -71,10 +73,18 @@ CATALOG: dict[str, Query] = {
     "corr_covar_regr": Query("select event_type, round(corr(value, user_id), 6) as r, round(covar_pop(value, user_id), 2) as cp, round(covar_samp(value, user_id), 2) as cs, round(regr_slope(value, user_id), 6) as slope, regr_count(value, user_id) as n from events group by event_type", duck="select event_type, round(corr(value, user_id), 6) as r, round(covar_pop(value, user_id), 2) as cp, round(covar_samp(value, user_id), 2) as cs, round(regr_slope(value, user_id), 6) as slope, cast(regr_count(value, user_id) as bigint) as n from events group by event_type"),
     "skew_kurtosis": Query("select event_type, round(skewness(value), 4) as skew, round(kurtosis(value), 3) as kurt from events group by event_type", duck="select event_type, round(m3 * sqrt(n) / pow(m2, 1.5), 4) as skew, round(n * m4 / (m2 * m2) - 3, 3) as kurt from (select event_type, cast(count(*) as double) as n, sum(pow(value - mean, 2)) as m2, sum(pow(value - mean, 3)) as m3, sum(pow(value - mean, 4)) as m4 from (select event_type, value, avg(value) over (partition by event_type) as mean from events) group by event_type)"),
     "median_percentile": Query("select event_type, round(median(value), 4) as med, round(percentile(value, 0.9), 4) as p90 from events group by event_type", duck="select event_type, round(median(value), 4) as med, round(quantile_cont(value, 0.9), 4) as p90 from events group by event_type"),
-    "mode_listagg": Query("select event_type, mode(user_id % 2 * 0) as zero, length(listagg(event_type, '-')) as width from events group by event_type", duck="select event_type, cast(0 as bigint) as zero, cast(count(*) * (len(event_type) + 1) - 1 as int) as width from events group by event_type"),
+    "mode_values": Query("select event_type, mode(user_id % 7) as commonest from events group by event_type", duck="select event_type, m as commonest from (select event_type, user_id % 7 as m, row_number() over (partition by event_type order by count(*) desc, user_id % 7) as r from events group by event_type, user_id % 7) where r = 1"),
+    "listagg_content": Query("select event_type, array_join(array_sort(split(listagg(distinct cast(user_id % 5 as string), ','), ',')), ',') as residues, md5(array_join(array_sort(split(listagg(concat(event_type, cast(user_id % 10 as string)), '-'), '-')), '-')) as everything from events group by event_type", duck="select event_type, string_agg(distinct (user_id % 5)::varchar, ',' order by (user_id % 5)::varchar) as residues, md5(string_agg(event_type || (user_id % 10)::varchar, '-' order by event_type || (user_id % 10)::varchar)) as everything from events group by event_type"),
+    "stddev_shifted": Query("select event_type, round(stddev_samp(value + 1e9), 3) as sd, round(var_pop(value + 1e9), 1) as vp, round(stddev_pop(value - 1e8), 4) as sp, round(var_samp(value + 1e9), 1) as vs from events group by event_type"),
+    "corr_shifted": Query("select event_type, round(corr(value + 1e7, user_id + 1e8), 5) as r, round(covar_pop(value + 1e7, user_id + 1e8), 1) as cp, round(regr_slope(value + 1e7, user_id + 1e8), 6) as slope from events group by event_type"),
+    "kurtosis_shifted": Query("select event_type, round(skewness(value + 1e7), 3) as skew, round(kurtosis(value + 1e7), 2) as kurt from events group by event_type", duck="select event_type, round(m3 * sqrt(n) / pow(m2, 1.5), 3) as skew, round(n * m4 / (m2 * m2) - 3, 2) as kurt from (select event_type, cast(count(*) as double) as n, sum(pow(value - mean, 2)) as m2, sum(pow(value - mean, 3)) as m3, sum(pow(value - mean, 4)) as m4 from (select event_type, value, avg(value) over (partition by event_type) as mean from events) group by event_type)"),
+    "regr_all": Query("select event_type, round(regr_avgx(value, user_id), 6) as ax, round(regr_avgy(value, user_id), 6) as ay, round(regr_sxx(value, user_id), 0) as sxx, round(regr_syy(value, user_id), 0) as syy, round(regr_sxy(value, user_id), 0) as sxy, round(regr_intercept(value, user_id), 4) as intercept, round(regr_r2(value, user_id), 8) as r2 from events group by event_type"),
+    "percentile_array": Query("select event_type, round(element_at(percentile(value, array(0.1, 0.5, 0.99)), 3), 4) as p99, round(element_at(percentile(value, array(0.1, 0.5)), 1), 4) as p10 from events group by event_type", duck="select event_type, round(quantile_cont(value, 0.99), 4) as p99, round(quantile_cont(value, 0.1), 4) as p10 from events group by event_type"),
+    "approx_percentile_close": Query("select event_type, abs(approx_percentile(value, 0.9) - percentile(value, 0.9)) < 1 as close, abs(approx_percentile(value, 0.99, 2000) - percentile(value, 0.99)) < 8 as far_close, count(*) as n from events group by event_type", duck="select event_type, true as close, true as far_close, count(*) as n from events group by event_type"),
+    "any_value_key": Query("select user_id % 3 as bucket, any_value(user_id % 3) as same, count(*) as n from events group by 1"),
     "min_by_max_by": Query("select event_type, max_by(value, ts) as last_value, min_by(user_id, ts) as first_user from events group by event_type", duck="select event_type, arg_max(value, ts) as last_value, arg_min(user_id, ts) as first_user from events group by event_type"),
     "collect_sizes": Query("select event_type, size(collect_list(value)) as n, size(collect_set(user_id)) as users, array_join(array_sort(collect_set(user_id % 5)), ',') as residues from events group by event_type", duck="select event_type, cast(count(value) as int) as n, cast(count(distinct user_id) as int) as users, string_agg(distinct (user_id % 5)::varchar, ',' order by (user_id % 5)::varchar) as residues from events group by event_type"),
-    "approx_types": Query("select user_id % 3 as bucket, approx_count_distinct(event_type) as types from events group by 1", duck="select user_id % 3 as bucket, count(distinct event_type) as types from events group by 1"),
+    "approx_users": Query("select user_id % 3 as bucket, abs(approx_count_distinct(user_id, 0.01) / count(distinct user_id) - 1) < 0.03 as close, count(distinct user_id) as users from events group by 1", duck="select user_id % 3 as bucket, true as close, count(distinct user_id) as users from events group by 1"),
     "cube_type": Query("select event_type, user_id % 3 as bucket, count(*) as n, grouping(event_type) as g from events group by cube (event_type, user_id % 3)", duck="select event_type, user_id % 3 as bucket, count(*) as n, cast(grouping(event_type) as tinyint) as g from events group by cube (event_type, user_id % 3)"),
     "rollup_q": Query(f"select {_DAY} as day, event_type, count(*) as n from events group by rollup (1, 2)", duck="select cast(date_trunc('day', ts) as timestamp) as day, event_type, count(*) as n from events group by rollup (1, 2)"),
     "window_buckets": Query("select window(ts, '6 hours').start as bucket, count(*) as n from events group by window(ts, '6 hours')", duck="select time_bucket(interval '6 hours', ts, timestamp '1970-01-01 00:00:00') as bucket, count(*) as n from events group by 1"),
@@ -89,15 +99,22 @@ CATALOG: dict[str, Query] = {
     "immutable_join_below": Query("select c_mktsegment, count(*) as n, round(sum(o_totalprice), 2) as revenue from orders join customer on c_custkey = o_custkey group by c_mktsegment", "orders", joins=True),
     "empty_global": Query("select count(*) as n, sum(user_id) as s, max(value) as m from events where value < -1", duck="select count(*) as n, cast(sum(user_id) as bigint) as s, max(value) as m from events where value < -1"),
     "empty_grouped": Query("select event_type, count(*) as n from events where value < -1 group by event_type"),
+    "immutable_left_join": Query("select c_mktsegment, count(*) as n, count(c_custkey) as known, round(sum(o_totalprice), 2) as revenue from orders left join (select * from customer where c_custkey % 2 = 0) on c_custkey = o_custkey group by c_mktsegment", "orders", joins=True),
+    "immutable_anti_join": Query("select o_orderstatus, count(*) as n from orders left anti join customer on c_custkey = o_custkey and c_acctbal > 0 group by o_orderstatus", "orders", joins=True, duck="select o_orderstatus, count(*) as n from orders anti join customer on c_custkey = o_custkey and c_acctbal > 0 group by o_orderstatus"),
+    "moving_floor_by_day": Query(f"select {_DAY} as day, count(*) as n, round(sum(value), 2) as total, count(distinct user_id) as users from events where ts > cast(current_date() as timestamp) - interval {{days}} days + interval 5 hours and value > 1 group by 1", duck="select cast(date_trunc('day', ts) as timestamp) as day, count(*) as n, round(sum(value), 2) as total, count(distinct user_id) as users from events where ts > cast(current_date as timestamp) - interval {days} day + interval 5 hour and value > 1 group by 1"),
+    "left_join_above": Query("select c_custkey, coalesce(n, 0) as n from customer left join (select o_custkey, count(*) as n from orders group by o_custkey) on c_custkey = o_custkey where c_custkey < 200", "orders"),
+    "semi_join_above": Query("select count(*) as n from customer left semi join (select o_custkey, max(o_totalprice) as top from orders group by o_custkey having max(o_totalprice) > 300000) on c_custkey = o_custkey", "orders", duck="select count(*) as n from customer where c_custkey in (select o_custkey from orders group by o_custkey having max(o_totalprice) > 300000)"),
+    "range_join_above": Query(f"select a.day, sum(b.n) as upto from (select {_DAY} as day, count(*) as n from events group by 1) a join (select {_DAY} as day, count(*) as n from events group by 1) b on b.day <= a.day group by a.day", hits=2, duck="select day, cast(sum(n) over (order by day) as bigint) as upto from (select cast(date_trunc('day', ts) as timestamp) as day, count(*) as n from events group by 1)"),
+    "intersect_except": Query("(select event_type from events group by event_type having count(*) > 10 intersect select event_type from events where value > 5 group by event_type) except select event_type from events where value > 1e9 group by event_type", hits=3),
     # How state is kept.
     "three_runs": Query("select event_type, count(*) as n, round(avg(value), 3) as mean, count(distinct user_id) as users from events group by event_type", cuts=("2024-01-05", "2024-01-12", "2024-01-20")),
     "future_rows": Query("select event_type, count(*) as n, round(sum(value), 2) as total from events group by event_type", cuts=("2024-01-10", "2024-01-15"), now="2024-01-22"),
     "clock_goes_back": Query("select event_type, count(*) as n from events group by event_type", cuts=("2024-01-20",), now="2024-01-08"),
     "parquet_store": Query("select user_id, count(*) as n, max(value) as high from events group by user_id", store="parquet"),
-    "late_rows": Query("select event_type, count(*) as n from events group by event_type", lateness=20 * 86_400_000_000),
+    "late_rows": Query("select event_type, count(*) as n, count(distinct user_id) as users from events group by event_type", lateness=2 * 86_400_000_000, late="event_id % 7 = 0 and ts >= timestamp '2024-01-19 00:00:00'"),
     # Forms that are passed through, and must give the same rows.
     "passthrough_now": Query("select count(*) as n from events where ts < now()", hits=0),
-    "passthrough_dynamic_bound": Query("select count(*) as n from events where ts > now() - interval 36500 days", hits=0, duck="select count(*) as n from events where ts > now()::timestamp - interval 36500 days"),
+    "passthrough_dynamic_bound": Query("select count(*) as n from events where ts > cast(current_date() as timestamp) - interval {days} days", hits=0, duck="select count(*) as n from events where ts > cast(current_date as timestamp) - interval {days} day"),
     "passthrough_join": Query("select c_mktsegment, count(*) as n from orders join customer on c_custkey = o_custkey group by c_mktsegment", "orders", hits=0),
     "passthrough_limit": Query("select count(*) as n from (select * from events order by event_id limit 100)", hits=0),
     "passthrough_rand": Query("select count(*) >= 0 as ok from events where rand() < 2", hits=0, duck="select true as ok"),
@@ -111,11 +128,17 @@ CATALOG: dict[str, Query] = {
 def _session(spark: SparkSession, q: Query, cache, now: str) -> CachedSession:
     column, _ = GROWING[q.table]
     config = QueryCacheConfig(f"{q.table}.{column}", cache, immutable_joins=q.joins, allowed_lateness=q.lateness)
-    return with_query_cache(spark, config.with_group_by_function("date_trunc").with_override_now(micros_of(now)), MemoryLog())
+    return with_query_cache(spark, config.with_group_by_function("date_trunc").with_override_now(micros_of(spark, now)), MemoryLog())
 
 
-def micros_of(day: str) -> int:
-    return micros(datetime.fromisoformat(day))
+def micros_of(spark: SparkSession, day: str) -> int:
+    """The start of a day in the session's zone, as the tables' columns have no zone of their own."""
+    return micros(datetime.fromisoformat(day).replace(tzinfo=ZoneInfo(spark.conf.get("spark.sql.session.timeZone"))))
+
+
+def _text(sql: str, ts: str) -> str:
+    """{ts}: the type of a time without zone; {days}: from a day amid the events to today."""
+    return sql.format(ts=ts, days=(datetime.now(UTC).date() - date(2024, 1, 15)).days)
 
 
 def _runner(name: str, q: Query) -> Callable[[SparkSession, str], DataFrame]:
@@ -125,13 +148,14 @@ def _runner(name: str, q: Query) -> Callable[[SparkSession, str], DataFrame]:
         for t in STATIC:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
         cache = MemoryQueryCache() if q.store == "memory" else ParquetQueryCache(spark, _store_folder(spark))
-        text = q.sql.format(ts="timestamp_ntz")
+        text = _text(q.sql, "timestamp_ntz")
         cuts = q.cuts or (cut,)
         for c in cuts:
             session = _session(spark, q, cache, c)
             # The last cold run of future_rows sees rows beyond its clock.
             until = c if name != "future_rows" else "2024-01-18"
-            session.register_table(q.table, rows.where(F.col(column) < F.lit(until).cast("timestamp_ntz")))
+            early = F.col(column) < F.lit(until).cast("timestamp_ntz")
+            session.register_table(q.table, rows.where(early & ~F.expr(q.late) if q.late else early))
             session.sql(text)
         session = _session(spark, q, cache, q.now)
         session.register_table(q.table, rows)
@@ -155,7 +179,7 @@ def _cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     for run, until in (("cold", GROWING["events"][1]), ("warm", LATER)):
         session = _session(spark, q, cache, until)
         session.register_table("events", rows.where(F.col("ts") < F.lit(until).cast("timestamp_ntz")))
-        session.sql(q.sql.format(ts="timestamp_ntz"))
+        session.sql(_text(q.sql, "timestamp_ntz"))
         messages = [m for entry in session.log.history() for _, m in entry.messages]
         out += [(run, s.hit, s.cached_rows > 0, s.stored, "; ".join(messages)) for s in session.stats]
     return spark.createDataFrame(out, "run string, hit boolean, read_state boolean, stored boolean, messages string")
@@ -167,21 +191,90 @@ def _explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = QueryCacheConfig("events.ts", MemoryQueryCache())
     spec = {"keys": {"event_type": "event_type"}, "aggs": {"mean": ("avg", "value"), "n": ("count", F.lit(1)), "last_value": ("max_by", "value", "ts")}, "name": "events"}
     cut = GROWING["events"][1]
-    cached_agg(rows.where(F.col("ts") < F.lit(cut).cast("timestamp_ntz")), config.with_override_now(micros_of(cut)), "ts", **spec)
-    out, stats = cached_agg(rows, config.with_override_now(micros_of(LATER)), "ts", **spec)
+    cached_agg(rows.where(F.col("ts") < F.lit(cut).cast("timestamp_ntz")), config.with_override_now(micros_of(spark, cut)), "ts", **spec)
+    out, stats = cached_agg(rows, config.with_override_now(micros_of(spark, LATER)), "ts", **spec)
     assert stats.hit
     return out.withColumn("mean", F.round("mean", 3))
 
 
+def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What explain tells of queries before and after a run, and which of them share a key."""
+    rows, cache = spark.read.parquet(f"{sf_dir}/events.parquet"), MemoryQueryCache()
+    texts = {
+        "counts": "select event_type, count(*) as n from events group by event_type", "same": "SELECT event_type, COUNT(*) AS other FROM events GROUP BY event_type",
+        "filtered": "select event_type, count(*) as n from events where value > 1 group by event_type", "limited": "select count(*) as n from (select * from events limit 5)",
+    }
+    session = _session(spark, CATALOG["daily_by_type"], cache, GROWING["events"][1])
+    session.register_table("events", rows)
+    key = lambda text: text.split("key: ")[1].split()[0] if "key: " in text else ""
+    before = {n: session.explain(t) for n, t in texts.items()}
+    session.sql(texts["counts"])
+    after = {n: session.explain(t) for n, t in texts.items()}
+    out = [(n, "miss" in before[n], "hit, rows with events.ts >=" in after[n], "not cached" in after[n], key(after[n]) == key(after["counts"])) for n in texts]
+    return spark.createDataFrame(out, "query string, miss_before boolean, hit_after boolean, refused boolean, same_key boolean")
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of state read, merged and stored, with state in the driver and in files."""
+    rows, cut, out = spark.read.parquet(f"{sf_dir}/events.parquet"), GROWING["events"][1], []
+    for place, bound in (("driver", 50_000), ("files", 3)):
+        cache = MemoryQueryCache()
+        for run, until in (("cold", cut), ("warm", LATER)):
+            session = with_query_cache(spark, QueryCacheConfig("events.ts", cache, driver_rows=bound).with_override_now(micros_of(spark, until)))
+            session.register_table("events", rows.where(F.col("ts") < F.lit(until).cast("timestamp_ntz")))
+            session.sql("select user_id, count(*) as n from events group by user_id")
+            out += [(place, run, s.cached_rows, s.fresh_rows, s.stored_rows) for s in session.stats]
+    return spark.createDataFrame(out, "place string, run string, cached_rows long, merged_rows long, stored_rows long")
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same growing table from files of other formats; the last run adds nothing and reads nothing."""
+    rows, folder, cut, out = spark.read.parquet(f"{sf_dir}/events.parquet").drop("props"), own_folder(spark, "sources"), GROWING["events"][1], None
+    for form in ("csv", "json", "orc", "parquet"):
+        cache = MemoryQueryCache()
+        for run, until in enumerate((cut, LATER, LATER)):
+            if run < 2:
+                low = cut if run else "1970-01-01"
+                part = rows.where((F.col("ts") >= F.lit(low).cast("timestamp_ntz")) & (F.col("ts") < F.lit(until).cast("timestamp_ntz")))
+                part.write.format(form).mode("append").save(f"{folder}/{form}")
+            session = _session(spark, CATALOG["daily_by_type"], cache, until)
+            session.register_table("events", spark.read.format(form).schema(rows.schema).load(f"{folder}/{form}"))
+            got = session.sql("select event_type, count(*) as n, max(value) as high, count(distinct user_id) as users from events group by event_type")
+            assert [(s.hit, s.scanned) for s in session.stats] == [(run > 0, run < 2)]
+        got = got.select(F.lit(form).alias("source"), "*")
+        out = got if out is None else out.union(got)
+    return out
+
+
+def _dataframes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query of the DataFrame interface, answered from state."""
+    rows, cache = spark.read.parquet(f"{sf_dir}/events.parquet"), MemoryQueryCache()
+    for until in (GROWING["events"][1], LATER):
+        session = _session(spark, CATALOG["daily_by_type"], cache, until)
+        session.register_table("events", rows.where(F.col("ts") < F.lit(until).cast("timestamp_ntz")))
+        table = spark.table("events").where(F.col("value") > 2)
+        out = session.run(table.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean")).where("n > 3").orderBy("event_type"))
+    assert [s.hit for s in session.stats] == [True]
+    return out
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from ..streaming.feeder import streamed_counts
 
-    return {n: _runner(n, q) for n, q in CATALOG.items()} | {"cache_stats": _cache_stats, "explicit_agg": _explicit, "streaming_feed": streamed_counts}
+    return {n: _runner(n, q) for n, q in CATALOG.items()} | {
+        "cache_stats": _cache_stats, "explicit_agg": _explicit, "streaming_feed": streamed_counts, "explain_rows": _explained, "operator_metrics": _metrics, "other_sources": _sources, "dataframe_api": _dataframes,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {n: (q.duck or q.sql).format(ts="timestamp") for n, q in CATALOG.items()}
+    out = {n: _text(q.duck or q.sql, "timestamp") for n, q in CATALOG.items()}
     out["explicit_agg"] = "select event_type, round(avg(value), 3) as mean, count(*) as n, arg_max(value, ts) as last_value from events group by event_type"
+    out["dataframe_api"] = "select event_type, count(*) as n, round(avg(value), 4) as mean from events where value > 2 group by event_type having count(*) > 3"
+    out["other_sources"] = "select source, event_type, count(*) as n, max(value) as high, count(distinct user_id) as users from events, (values ('csv'), ('json'), ('orc'), ('parquet')) as t(source) group by source, event_type"
+    out["explain_rows"] = "select * from (values ('counts', true, true, false, true), ('same', true, true, false, true), ('filtered', true, false, false, false), ('limited', false, false, true, false)) as t(query, miss_before, hit_after, refused, same_key)"
+    cold, warm = "(select count(distinct user_id) from events where ts < timestamp '2024-01-20 00:00:00')", "(select count(distinct user_id) from events)"
+    merged = "(select count(distinct user_id) from events)"
+    out["operator_metrics"] = f"select place, 'cold' as run, cast(0 as bigint) as cached_rows, {cold} as merged_rows, {cold} as stored_rows from (values ('driver'), ('files')) as t(place) union all select place, 'warm', {cold}, {merged}, {warm} from (values ('driver'), ('files')) as t(place)"
     out["streaming_feed"] = "select event_type, count(*) as n, round(sum(value), 2) as total, max(value) as high from events group by event_type"
-    out["cache_stats"] = "select 'cold' as run, false as hit, false as read_state, true as stored, 'query valid for caching; cache entry hit: false' as messages union all select 'warm', true, true, true, 'query valid for caching; cache entry hit: true'"
+    out["cache_stats"] = "select 'cold' as run, false as hit, false as read_state, true as stored, 'its state can be kept; no state yet, answered from all rows' as messages union all select 'warm', true, true, true, 'its state can be kept; answered from state and newer rows'"
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,7 +62,56 @@ def to_node(expression, names: dict[int, str], shared: dict[int, Node] | None =
         return to_node(children[0], names, shared)
     if name == "Between":
         return to_node(children[0], names, shared)
-    return Node(name, tuple(to_node(c, names, shared) for c in children), deterministic=expression.deterministic(), sql=expression.sql())
+    return Node(name, tuple(to_node(c, names, shared) for c in children), deterministic=expression.deterministic(), sql=expression.sql(), expression=expression)
+
+
+def conjuncts(condition) -> list:
+    """The conditions that AND joins."""
+    if kind(condition) == "And":
+        return [x for c in items(condition.children()) for x in conjuncts(c)]
+    return [condition]
+
+
+def substituted(spark: SparkSession, expression, attribute, other):
+    """``expression`` with ``other`` in place of an attribute."""
+    if kind(expression) == "AttributeReference":
+        return other if expr_id(expression) == expr_id(attribute) else expression
+    children = items(expression.children())
+    return with_children(spark, expression, [substituted(spark, c, attribute, other) for c in children]) if children else expression
+
+
+def filtered(spark: SparkSession, conditions: list, plan):
+    """``plan`` under a filter of all ``conditions``."""
+    jvm = spark._jvm.org.apache.spark.sql.catalyst
+    if not conditions:
+        return plan
+    whole = conditions[0]
+    for c in conditions[1:]:
+        whole = jvm.expressions.And(whole, c)
+    return jvm.plans.logical.Filter(whole, plan)
+
+
+def leaves(plan) -> Iterator:
+    children = items(plan.children())
+    if not children:
+        yield plan
+    for c in children:
+        yield from leaves(c)
+
+
+def snapshot(plan, most_files: int = 10_000) -> str | None:
+    """Names what a plan reads: the plan, and each file with its length and time of change. None where that cannot be told, or of too many files."""
+    out = [plan.canonicalized().toString(), str(plan.semanticHash())]
+    for leaf in leaves(plan):
+        if kind(leaf) == "LocalRelation":
+            continue  # its data are in the plan's hash
+        if kind(leaf) != "LogicalRelation" or kind(leaf.relation()) != "HadoopFsRelation" or kind(leaf.relation().location()) != "InMemoryFileIndex":
+            return None
+        files = leaf.relation().location().allFiles()
+        if files.size() > most_files:
+            return None
+        out.append(files.mkString("\n"))
+    return hashlib.sha256("\n".join(out).encode()).hexdigest()
 
 
 def walk(expression) -> Iterator:

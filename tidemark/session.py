@@ -58,9 +58,9 @@ class CachedSession:
                     result, stats = run(self.spark, found.aggregation, self.config)
                     new = planner.replacement(found, result)
                 except AnalysisException as e:  # a state that this aggregate's types do not allow
-                    self.log.warn(found.fingerprint, f"state cannot be computed, caching not possible: {str(e).splitlines()[0]}")
+                    self.log.warn(found.fingerprint, f"no state of these types: {str(e).splitlines()[0]}")
                     continue
-                self.log.info(found.fingerprint, f"cache entry hit: {str(stats.hit).lower()}")
+                self.log.info(found.fingerprint, "answered from state and newer rows" if stats.hit else "no state yet, answered from all rows")
                 self.stats.append(stats)
                 done.append((found, new))
             return catalyst.frame(self.spark, planner.spliced(plan, done)) if done else df
@@ -69,7 +69,7 @@ class CachedSession:
         for reason in found.reasons:
             self.log.info(found.fingerprint, reason)
         if found.aggregation is not None:
-            self.log.info(found.fingerprint, "query valid for caching")
+            self.log.info(found.fingerprint, "its state can be kept")
 
     def explain(self, query: str | DataFrame, verbose: bool = False) -> str:
         """What would be done, without doing it: each aggregate's key, its cache state and bound, or why it is not kept."""
@@ -91,7 +91,7 @@ class CachedSession:
         """Runs the query, which also updates the cache, and reports what each aggregate did."""
         df = self.sql(query) if isinstance(query, str) else self.run(query)
         rows = df.count()
-        lines = [f"CacheUpdateAggregate: key={s.fingerprint[:12]} hit={s.hit} cached_rows={s.cached_rows} state_rows={s.fresh_rows} stored_rows={s.stored_rows}" for s in self.stats]
+        lines = [f"CacheUpdateAggregate: key={s.fingerprint[:12]} hit={s.hit} scanned={s.scanned} cached_rows={s.cached_rows} state_rows={s.fresh_rows} stored_rows={s.stored_rows}" for s in self.stats]
         return "\n".join([*lines, f"output rows: {rows}"])
 
 
@@ -99,28 +99,31 @@ def with_query_cache(spark: SparkSession, config: QueryCacheConfig, log: Abstrac
     return CachedSession(spark, config, log)
 
 
-def cached_agg(df: DataFrame, config: QueryCacheConfig, temporal: str, keys: dict[str, Column | str] | None = None, aggs: dict[str, tuple] | None = None, name: str = "", **how) -> tuple[DataFrame, CacheStats]:
-    """The explicit form: no plan is read. aggs: {"avg_value": ("avg", "value"), "n": ("count", F.lit(1))}.
-
-    ``name`` stands for the data in the fingerprint; the caller promises that it only grows, in the order of the
-    column ``temporal``. ``how`` goes to ``maintain.run``.
-    """
+def explicit(df: DataFrame, temporal: str, keys: dict[str, Column | str] | None = None, aggs: dict[str, tuple] | None = None, name: str = "") -> Aggregation:
+    """The aggregation that ``cached_agg`` describes."""
     keys = {k: F.col(v) if isinstance(v, str) else v for k, v in (keys or {}).items()}
     kind = df.schema[temporal].dataType
     if not is_temporal(kind):
         raise ValueError(f"{temporal} is no date or timestamp")
-    calls = {a: Call(BY_NAME[f], tuple(F.col(x) if isinstance(x, str) else x for x in args)) for a, (f, *args) in (aggs or {}).items()}
+    column = lambda x: F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x)
+    constant = lambda x: None if isinstance(x, str | Column) else x
+    calls = {a: Call(BY_NAME[f], tuple(column(x) for x in args), tuple(constant(x) for x in args)) for a, (f, *args) in (aggs or {}).items()}
     states = [decompose(c) for c in calls.values()]
     if None in states:
         raise ValueError("an aggregate has no state that merges")
-    plain = df.groupBy(*(c.alias(k) for k, c in keys.items())).agg(*(_plain(f, args).alias(a) for a, (f, *args) in aggs.items()))
+    plain = df.groupBy(*(c.alias(k) for k, c in keys.items())).agg(*(getattr(F, f)(*args).alias(a) for a, (f, *args) in aggs.items()))
     types = [plain.schema[a].dataType.simpleString() for a in calls]
-    spec = {"name": name, "schema": df.dtypes, "temporal": temporal, "keys": {k: str(c) for k, c in keys.items()}, "aggs": {a: [f, *map(str, args)] for a, (f, *args) in aggs.items()}, "version": STATE_VERSION}
-    agg = Aggregation(df, F.col(temporal), kind, list(keys.values()), states, types, hashlib.sha256(json.dumps(spec, sort_keys=True).encode()).hexdigest())
-    result, stats = run(df.sparkSession, agg, config, **how)
-    names = [*(F.col(f"k{i}").alias(k) for i, k in enumerate(keys)), *(F.col(f"a{i}").alias(a) for i, a in enumerate(calls))]
-    return result.select(*names), stats
+    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
+    spec = {"name": name, "schema": df.dtypes, "temporal": temporal, "zone": zone, "keys": {k: str(c) for k, c in keys.items()}, "aggs": {a: [f, *map(str, args)] for a, (f, *args) in aggs.items()}, "version": STATE_VERSION}
+    return Aggregation(df, F.col(temporal), kind, list(keys.values()), states, types, hashlib.sha256(json.dumps(spec, sort_keys=True).encode()).hexdigest())
 
 
-def _plain(function: str, args) -> Column:
-    return getattr(F, function)(*args)
+def cached_agg(df: DataFrame, config: QueryCacheConfig, temporal: str, keys: dict[str, Column | str] | None = None, aggs: dict[str, tuple] | None = None, name: str = "", **how) -> tuple[DataFrame, CacheStats]:
+    """The explicit form: no plan is read. aggs: {"avg_value": ("avg", "value"), "n": ("count", F.lit(1))}.
+
+    ``name`` stands for the data in the fingerprint; the caller promises that it only grows, in the order of the
+    column ``temporal``. ``how`` goes to ``maintain.run``.
+    """
+    result, stats = run(df.sparkSession, explicit(df, temporal, keys, aggs, name), config, **how)
+    names = [*(F.col(f"k{i}").alias(k) for i, k in enumerate(keys or {})), *(F.col(f"a{i}").alias(a) for i, a in enumerate(aggs or {}))]
+    return result.select(*names), stats

@@ -16,12 +16,32 @@ from pyspark.sql.types import StructType
 
 @dataclass(frozen=True)
 class State:
-    """State rows, either in the driver or in files. ``version`` tells what they mean; another one is a miss."""
+    """State rows, either in the driver or in files. ``version`` tells what they mean; another one is a miss.
+
+    ``snapshot`` names the input that the state and the ``tail`` (state of rows that are not to be stored) were made
+    of, if that is known. ``n`` is the number of rows in files. ``note`` is what a feeder has to know.
+    """
 
     schema: StructType
     table: pa.Table | None = None
     path: str | None = None
     version: str = ""
+    tail: pa.Table | None = None
+    snapshot: str | None = None
+    n: int = 0
+    note: dict | None = None
+
+    @property
+    def rows(self) -> int:
+        return self.table.num_rows if self.table is not None else self.n
+
+    @property
+    def tail_rows(self) -> int:
+        return self.tail.num_rows if self.tail is not None else 0
+
+    def like(self, other: State) -> bool:
+        """Whether both mean the same, so that the later one is the better one."""
+        return (self.version, self.schema) == (other.version, other.schema)
 
     def frame(self, spark: SparkSession) -> DataFrame:
         if self.table is not None:
@@ -63,7 +83,13 @@ class OccupiedEntry(CacheEntry):
 
 
 class QueryCache(ABC):
-    """Implement ``entry``, and ``remove``/``clear`` where state should be dropped."""
+    """Implement ``entry``, and ``remove``/``clear`` where state should be dropped. ``durable`` says that entries outlive the driver.
+
+    A put of an older time than the stored one is ignored, if both states mean the same: of two sessions that
+    run a query at once, the one with the later clock counts.
+    """
+
+    durable = False
 
     @abstractmethod
     def entry(self, fingerprint: str) -> CacheEntry: ...
@@ -93,6 +119,9 @@ class MemoryQueryCache(QueryCache):
 
     def _store(self, fingerprint: str, timestamp: int, state: State) -> None:
         with self._lock:
+            old = self._entries.get(fingerprint)
+            if old is not None and old[0] > timestamp and old[1].like(state):
+                return
             self._entries[fingerprint] = (timestamp, state)
             self._entries.move_to_end(fingerprint)
             while self._max is not None and len(self._entries) > self._max:
@@ -109,6 +138,9 @@ class MemoryQueryCache(QueryCache):
     def __len__(self) -> int:
         return len(self._entries)
 
+    def __repr__(self) -> str:
+        return self.display()
+
     def display(self) -> str:
         out = ["## MemoryQueryCache:"]
         with self._lock:
@@ -122,9 +154,12 @@ class ParquetQueryCache(QueryCache):
     """State in a folder of any file system that Spark reaches; sessions and clusters may share it.
 
     A put writes a new version of the state, then replaces the entry's small metadata file by a rename, so a
-    reader sees the old pair of time and state or the new one. The last writer wins.
+    reader sees the old pair of time and state or the new one. Of two writers at once the last one wins, unless
+    it sees that the other has stored a later time.
     """
 
+    durable = True
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         jvm = spark._jvm
@@ -148,21 +183,25 @@ class ParquetQueryCache(QueryCache):
         meta = self._read(self._meta(fingerprint))
         if meta is None:
             return VacantEntry(put)
-        state = State(StructType.fromJson(meta["schema"]), path=meta["path"], version=meta["version"])
+        state = State(StructType.fromJson(meta["schema"]), path=meta["path"], version=meta["version"], n=meta["rows"], snapshot=meta["snapshot"], note=meta["note"])
         return OccupiedEntry(put, meta["timestamp"], state)
 
     def _store(self, fingerprint: str, timestamp: int, state: State) -> None:
-        old = self._read(self._meta(fingerprint))
         path = f"{self.folder}/{fingerprint}/state-{uuid.uuid4().hex}"
         state.frame(self.spark).write.parquet(path)
-        meta = {"timestamp": timestamp, "path": path, "schema": state.schema.jsonValue(), "version": state.version}
+        snapshot = None if state.tail_rows else state.snapshot
+        meta = {"timestamp": timestamp, "path": path, "schema": state.schema.jsonValue(), "version": state.version, "rows": state.rows, "snapshot": snapshot, "note": state.note}
         fresh = f"{self._meta(fingerprint)}.{uuid.uuid4().hex}"
         stream = self._fs.create(self._path(fresh), True)
         try:
             stream.write(json.dumps(meta).encode())
         finally:
             stream.close()
-        target = self._path(self._meta(fingerprint))
+        target, old = self._path(self._meta(fingerprint)), self._read(self._meta(fingerprint))
+        if old and old["timestamp"] > timestamp and State(StructType.fromJson(old["schema"]), version=old["version"]).like(state):
+            self._fs.delete(self._path(fresh), False)
+            self._fs.delete(self._path(path), True)
+            return
         if not self._fs.rename(self._path(fresh), target):  # some file systems do not rename over a file
             self._fs.delete(target, False)
             self._fs.rename(self._path(fresh), target)
