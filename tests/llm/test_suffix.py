@@ -65,3 +65,92 @@ def test_overlaps_repeats_and_edge_rows(spark, hot_texts):
     df = spark.createDataFrame([(*d, 1, "x") for d in docs], "doc_id long, text string, place int, h1 string")
     assert run(df, hot_texts=hot_texts) == brute(docs)
     assert run(df.limit(0)) == []
+
+
+def test_wide_texts_that_repeat_themselves():
+    """Texts of up to 1,000 symbols, which go through the steps together."""
+    random.seed(7)
+    fib, x = [1], [1, 2]
+    while len(x) < 900:
+        fib, x = x, x + fib
+    texts = [x[:900], [3] * 700, [1, 2] * 450, [random.randint(1, 2) for _ in range(1000)], list(range(1, 250)) * 3, list(range(250, 0, -1)), [1, 2, 2, 1, 1, 2] * 90]
+    texts = [np.array([*t, 0], dtype=np.int16) for t in texts]
+    starts = np.cumsum([0, *map(len, texts[:-1])])
+    for rows, order in suffix.suffix_orders(np.concatenate(texts), starts):
+        for r, o in zip(rows, order, strict=True):
+            t = [*texts[r][:-1].tolist(), -1]
+            assert [i for i in o.tolist() if i >= 0] == sorted(range(len(t)), key=lambda i: t[i:])
+
+
+def test_group_steps_are_linear():
+    """The steps look at few suffixes besides each group's own: counted by the numbers that go through ``_ragged``."""
+    random.seed(8)
+    seen = []
+    for n in (100, 800):
+        texts = np.array([[random.randint(1, 4) for _ in range(n)] + [0] for _ in range(50)], dtype=np.int16)
+        counted = [0]
+        ragged = suffix._ragged
+
+        def count(first, counts, counted=counted, ragged=ragged):
+            counted[0] += int(counts.sum())
+            return ragged(first, counts)
+
+        suffix._ragged = count
+        try:
+            suffix.group_suffixes(texts, np.full(50, n + 1))
+        finally:
+            suffix._ragged = ragged
+        seen.append(counted[0] / texts.size)
+    assert seen == [1, 1]  # each suffix is a member of one group that is taken
+
+
+def judged(got):
+    out = {}
+    for batch in suffix._judge(got):
+        for place, firsts, masks in zip(batch.column("place").to_pylist(), batch.column("firsts").to_pylist(), batch.column("masks").to_pylist(), strict=True):
+            for f, m in zip(np.frombuffer(firsts, "<u4"), np.frombuffer(masks, "<u4"), strict=True):
+                out[place] = out.get(place, set()) | {int(f) + b for b in range(32) if int(m) >> b & 1}
+    return out
+
+
+def test_equal_hashes_of_different_strings(monkeypatch):
+    random.seed(9)
+    base = ["".join(random.choices("ab", k=60)).encode() for _ in range(4)]
+    strings = [random.choice(base) for _ in range(30)] + [base[0][:55] + b"zzzzz", b"c" + base[1][:59]]
+    got = {
+        "anchors": np.array([1 + i % 2 for i in range(len(strings))], dtype="<u8"), "sizes": np.array([len(x) for x in strings], dtype="<u2"), "judges": np.full(len(strings), 0x7FF, dtype="<u4"),
+        "places": np.arange(len(strings)), "names": np.arange(len(strings)) * 7, "firsts": np.zeros(len(strings), dtype="<u4"), "body": np.frombuffer(b"".join(strings), dtype="u1"),
+    }
+    want = judged(got)
+    monkeypatch.setattr(suffix.xxhash, "xxh3_64_intdigest", lambda _: 5)
+    assert judged(got) == want and want
+
+
+def test_shared_anchors_in_parts():
+    """A bucket that does not fit gives the anchors that several texts have, hot ones with their number."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows, pairs = [], {}
+    for bucket in range(3):
+        for _ in range(40):
+            anchor, name = (rng.integers(0, 12, 9) * 3 + bucket).astype("<u8"), rng.integers(0, 30, 9).astype("<i8")
+            anchor[0] = bucket  # a hot one
+            rows.append((bucket, anchor.tobytes(), name.tobytes()))
+            for a, n in zip(anchor.tolist(), name.tolist(), strict=True):
+                pairs.setdefault(a, set()).add(n)
+    batch = pa.RecordBatch.from_pylist([dict(zip(("bucket", "anchors", "names"), r, strict=True)) for r in rows])
+    want = {(n, a) for a, names in pairs.items() if len(names) > 1 for n in names}
+    for least in (1, 200, 1 << 24):
+        got, hot, total = set(), {}, 0
+        for out in suffix._shared(25, least)(iter([batch.slice(0, 50), batch.slice(50)])):
+            for r in out.to_pylist():
+                if r["h1"] is not None:
+                    got |= {(r["h1"], a) for a in np.frombuffer(r["anchors"], "<u8").tolist()}
+                elif r["anchor"] is not None:
+                    hot[r["anchor"]] = r["n"]
+                else:
+                    total += r["n"]
+        assert got == want and {0, 1, 2} <= set(hot) and total >= sum(map(len, pairs.values()))
+        if least == 1 << 24:
+            assert total == sum(map(len, pairs.values())) and hot == {a: len(n) for a, n in pairs.items() if len(n) > 25}

@@ -31,6 +31,8 @@ MOST_WINDOWS = LENGTH - PART + 1
 TOGETHER = 1024
 #: Under an anchor of more texts than this, windows are dealt to several groups by their own hash.
 HOT_TEXTS = 1 << 15
+#: Strings are judged in parts of about so many bytes, or one bucket.
+JUDGED_BYTES = 1 << 24
 
 _LATEST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -40,65 +42,81 @@ _U = np.uint64
 # -- suffix arrays ---------------------------------------------------------------------------------------------------
 
 
+def _ragged(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... (counts[i] numbers), for all i."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - counts), counts)
+
+
 def group_suffixes(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Phase 1 for many texts. symbols[text, i] >= 0 for i < sizes[text]; the last symbol counts as the smallest.
 
     Returns (group, before), both [text, 1 + i]: the place of the suffix's group in the order, and the pointer to
-    the previous smaller suffix, 0 for none.
+    the previous smaller suffix, 0 for none. Each text's suffixes stand in ``order`` group by group, so a step looks
+    at the members of one group and at the suffixes that they move, and at nothing else.
     """
     texts, n = symbols.shape
-    cols = np.arange(n)
+    width, cols, every = n + 1, np.arange(n), np.arange(texts)
+    base = every * width
     key = np.where(cols < sizes[:, None], symbols.astype(np.int32), np.int32(1 << 20))
-    every = np.arange(texts)
     key[every, sizes - 1] = -1
-    order = np.argsort(key, axis=1, kind="stable")
-    ranked = np.take_along_axis(key, order, axis=1)
+    by_key = np.argsort(key, axis=1, kind="stable")
+    ranked = np.take_along_axis(key, by_key, axis=1)
     first = np.where(np.c_[np.ones(texts, dtype=bool), ranked[:, 1:] != ranked[:, :-1]], cols, 0)
-    start = np.maximum.accumulate(first, axis=1)
-    kind = np.int16 if n < 32000 else np.int32
-    group = np.full((texts, n + 1), -1, dtype=kind)
-    np.put_along_axis(group[:, 1:], order, start.astype(kind), axis=1)
-    group[:, 1:][cols >= sizes[:, None]] = -2
-    width = n + 1
-    flat_group = group.ravel()
-    held = flat_group >= 0
-    size = np.bincount((np.arange(texts * width) // width * width + flat_group)[held], minlength=texts * width)
-    before = np.zeros(texts * width, dtype=np.int64)  # flat places; a text's own place 0 stands for none
-    now = group.max(axis=1)
-    while True:
-        at = np.flatnonzero((group == now[:, None]) & (now >= 0)[:, None])
-        if not len(at):
-            break
-        mine = flat_group[at]
+    start = np.maximum.accumulate(first, axis=1) + base[:, None]
+    # Flat numbers from here on: of suffixes base + 1 + i, of groups and places base + place. A text's own base stands for none.
+    order, where = np.empty(texts * width, dtype=np.int64), np.empty(texts * width, dtype=np.int64)
+    group, size = np.full(texts * width, -1, dtype=np.int64), np.zeros(texts * width, dtype=np.int64)
+    suffixes, places = (by_key + base[:, None] + 1).ravel(), (cols + base[:, None]).ravel()
+    order[places], where[suffixes], group[suffixes] = suffixes, places, start.ravel()
+    inside = (cols < sizes[:, None]).ravel()
+    size[: texts * width] = np.bincount(start.ravel()[inside], minlength=texts * width)
+    before, moved = np.zeros(texts * width, dtype=np.int64), np.zeros(texts * width, dtype=bool)
+    live, high = base, base + sizes  # what is left of each text, and the end of its highest group to come
+    while len(live):
+        now = group[order[high - 1]]
+        at = np.sort(order[_ragged(now, high - now)])
+        going = now > live
+        live, high = live[going], now[going]
+        mine = group[at]
         j = at - 1
-        above = np.flatnonzero(flat_group[j] > mine)
+        above = np.flatnonzero(group[j] > mine)
         while len(above):
             j[above] = before[j[above]]
-            above = above[flat_group[j[above]] > mine[above]]
+            above = above[group[j[above]] > mine[above]]
         before[at] = j
-        same = np.flatnonzero(flat_group[j] == mine)
+        same = np.flatnonzero(group[j] == mine)
         while len(same):
             j[same] = before[j[same]]
             before[at[same]] = j[same]
-            same = same[flat_group[j[same]] == mine[same]]
-        to = j[flat_group[j] >= 0]  # ascending, as pointers of one group never cross
-        if len(to):
-            begin = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-            count = np.diff(np.r_[begin, len(to)])
-            to = to[begin]
-            old = to // width * width + flat_group[to]  # flat number of the group that each leaves
-            by = np.lexsort((count, old))
-            to, old, count = to[by], old[by], count[by]
-            new_old = np.r_[True, old[1:] != old[:-1]]
-            new_class = new_old | np.r_[True, count[1:] != count[:-1]]
-            old_at, class_at = np.flatnonzero(new_old), np.flatnonzero(new_class)
-            leaving, members = np.diff(np.r_[old_at, len(to)]), np.diff(np.r_[class_at, len(to)])
-            end = np.repeat(old_at + leaving, leaving)  # one past the last that leaves the same group
-            name = old + size[old] - (end - np.repeat(class_at, members))
-            size[old[old_at]] -= leaving
-            size[name[class_at]] = members
-            flat_group[to] = name % width
-        now = np.where(group < now[:, None], group, -1).max(axis=1)
+            same = same[group[j[same]] == mine[same]]
+        to = j[group[j] >= 0]  # ascending, as pointers of one group never cross
+        if not len(to):
+            continue
+        begin = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+        count, to = np.diff(np.r_[begin, len(to)]), to[begin]
+        old = group[to]  # the group that each leaves
+        by = np.lexsort((count, old))
+        to, old, count = to[by], old[by], count[by]
+        new_old = np.r_[True, old[1:] != old[:-1]]
+        new_class = new_old | np.r_[True, count[1:] != count[:-1]]
+        old_at, class_at = np.flatnonzero(new_old), np.flatnonzero(new_class)
+        leaving, members = np.diff(np.r_[old_at, len(to)]), np.diff(np.r_[class_at, len(to)])
+        shift = np.repeat(old[old_at] + size[old[old_at]] - (old_at + leaving), leaving)  # from numbers in ``to`` to places
+        target, name = np.arange(len(to)) + shift, np.repeat(class_at, members) + shift
+        # They change places with the others at the end of their old group.
+        moved[to] = True
+        others, free = order[target], where[to]
+        others, free = others[~moved[others]], free[free < np.repeat(target[old_at], leaving)]
+        moved[to] = False
+        order[free], where[others] = others, free
+        order[target], where[to] = to, target
+        size[old[old_at]] -= leaving
+        size[name[class_at]] = members
+        group[to] = name
+    group = group.reshape(texts, width) - base[:, None]
+    group[:, 0] = -1
+    group[:, 1:][cols >= sizes[:, None]] = -2
     return group, before.reshape(texts, width)
 
 
@@ -191,7 +209,7 @@ def order_one(symbols: list[int]) -> list[int]:
     return [i - 1 for i in out]
 
 
-def suffix_orders(flat: np.ndarray, starts: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def suffix_orders(flat: np.ndarray, starts: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Suffix arrays of texts that lie one after another in ``flat``, each ended by a symbol that counts as its smallest.
 
     Gives (texts, order): numbers of texts, and for each a row of places in its suffix order, -1 beyond its end.
@@ -299,43 +317,95 @@ def _anchors(buckets: int):
     return run
 
 
-def _gather(batches: Iterator[pa.RecordBatch], columns: dict[str, str]) -> dict[str, np.ndarray]:
-    """All blobs of a partition, one array for each column."""
+def _buckets(batches: Iterator[pa.RecordBatch], columns: dict[str, str], least: int) -> Iterator[tuple[dict[str, np.ndarray], bool]]:
+    """The blobs of a partition sorted by bucket, one array for each column, and whether a bucket ends there.
+
+    Comes out once ``least`` bytes have gathered: at the end of a bucket, or, where there is no end in sight, in between.
+    """
     held: dict[str, list[bytes]] = {c: [] for c in columns}
-    for batch in batches:
-        for c in columns:
-            held[c] += batch.column(c).to_pylist()
-    return {c: np.frombuffer(b"".join(held[c]), dtype=kind) for c, kind in columns.items()}
+    size, last = 0, None
 
+    def taken() -> dict[str, np.ndarray]:
+        out = {c: np.frombuffer(b"".join(held[c]), dtype=kind) for c, kind in columns.items()}
+        for c in columns:
+            held[c].clear()
+        return out
 
-def _shared(hot_texts: int):
-    """For each text, its anchors in this partition that other texts have too, with the number of groups for hot ones."""
+    for batch in batches:
+        blobs = [batch.column(c).to_pylist() for c in columns]
+        for bucket, *row in zip(batch.column("bucket").to_pylist(), *blobs, strict=True):
+            if bucket != last and size >= least:
+                yield taken(), True
+                size = 0
+            elif size >= 8 * least:
+                yield taken(), False
+                size = 0
+            last = bucket
+            for c, blob in zip(columns, row, strict=True):
+                held[c].append(blob)
+                size += len(blob)
+    yield taken(), True
+
+
+def _shared(hot_texts: int, least: int = 1 << 24):
+    """For each text (h1), its anchors in this partition that other texts have too. Rows without h1 tell what is hot:
+    an anchor and its number of texts if that is over ``hot_texts``, and without anchor the number of all.
+
+    Of a bucket that does not fit, each anchor is held with its first text, and the others come out as they come by.
+    """
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _gather(batches, {"anchors": "<u8", "names": "<i8"})
-        order = np.lexsort((got["names"], got["anchors"]))
-        anchor, name = got["anchors"][order], got["names"][order]
-        del got, order
-        if not len(anchor):
-            return
-        keep = np.r_[True, (anchor[1:] != anchor[:-1]) | (name[1:] != name[:-1])]
-        anchor, name = anchor[keep], name[keep]
-        begin = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-        count = np.repeat(*(np.diff(np.r_[begin, len(anchor)]),) * 2)
-        several = count > 1
-        anchor, name, split = anchor[several], name[several], -(-count[several] * 16 // hot_texts)
-        split = np.where(count[several] > hot_texts, split, 1).astype(np.int32)
-        rows = list(_deal(name))
-        for low in range(0, len(rows), 20000):
-            part = [i for _, i in rows[low : low + 20000]]
-            yield pa.RecordBatch.from_arrays([pa.array([name[i[0]] for i in part], pa.int64()), _binary([anchor[i] for i in part]), _binary([split[i] for i in part])], names=["h1", "anchors", "splits"])
+        none = np.zeros(0, dtype=_U)
+        known, firsts, told, counts = none, none.view(np.int64), none.astype(bool), none.view(np.int64)
+        total, hot = 0, []
+        for got, ended in _buckets(batches, {"anchors": "<u8", "names": "<i8"}, least):
+            anchor, name = np.r_[known, got["anchors"]], np.r_[firsts, got["names"]]
+            old = np.arange(len(anchor)) < len(known)
+            order = np.lexsort((name, ~old, anchor))  # the first text of an anchor stays its first
+            anchor, name, old = anchor[order], name[order], old[order]
+            begin = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]) if len(anchor) else np.zeros(0, dtype=np.int64)
+            of = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(anchor)]))
+            new = np.r_[True, (anchor[1:] != anchor[:-1]) | (name[1:] != name[:-1])][: len(anchor)]
+            other = new & (name != name[begin][of])  # a text besides the first
+            several = np.bincount(of, weights=other, minlength=len(begin)) > 0
+            seen = np.zeros(len(begin), dtype=bool)
+            seen[of[old]] = told[order[old]]
+            number = np.bincount(of, weights=other, minlength=len(begin)).astype(np.int64) + 1
+            number[of[old]] += counts[order[old]] - 1
+            emit = other.copy()
+            emit[begin[several & ~seen]] = True
+            rows = list(_deal(name[emit]))
+            for low in range(0, len(rows), 20000):
+                part = rows[low : low + 20000]
+                yield _told(pa.array([n for n, _ in part], pa.int64()), _binary([anchor[emit][i] for _, i in part]))
+            known, firsts, told, counts = anchor[begin], name[begin], seen | several, number
+            if ended:
+                total += int(number.sum())
+                hot += [(a, int(n)) for a, n in zip(known[number > hot_texts].view(np.int64).tolist(), number[number > hot_texts], strict=True)]
+                known, firsts, told, counts = none, none.view(np.int64), none.astype(bool), none.view(np.int64)
+        yield _told(pa.nulls(len(hot) + 1, pa.int64()), pa.nulls(len(hot) + 1, pa.binary()), [a for a, _ in hot] + [None], [n for _, n in hot] + [total])
 
     return run
 
 
-def _strings(buckets: int):
-    """The strings under shared anchors, with the windows that are to be judged there, dealt by anchor."""
+def _told(h1: pa.Array, anchors: pa.Array, anchor: list | None = None, n: list | None = None) -> pa.RecordBatch:
+    none = [None] * len(h1)
+    return pa.RecordBatch.from_arrays([h1, anchors, pa.array(anchor or none, pa.int64()), pa.array(n or none, pa.int64())], names=["h1", "anchors", "anchor", "n"])
+
+
+def _hot_anchors(shared: DataFrame, hot_texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors (sorted) of over ``hot_texts`` texts, or a millionth of all pairs of a text and an anchor, so a million at most; and into how many groups each goes."""
+    told = shared.where("h1 is null")
+    total = told.where("anchor is null").agg(F.sum("n")).first()[0] or 0
+    got = told.where(F.col("n") > max(hot_texts, total // 1_000_000)).where("anchor is not null").select("anchor", "n").toArrow()
+    anchors, n = got.column("anchor").to_numpy().view(_U), got.column("n").to_numpy()
+    order = np.argsort(anchors)
+    return anchors[order], -(-n[order] * 16 // hot_texts)
+
+
+def _strings(buckets: int, hot):
+    """The strings under shared anchors, with the windows that are to be judged there, dealt by anchor. hot: broadcast of _hot_anchors."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,16 +415,19 @@ def _strings(buckets: int):
                 own = utf8(texts.slice(low, high - low))
                 text, first, count, anchor = runs_of_windows(own)
                 known = [np.frombuffer(b"".join(x), dtype="<u8") for x in batch.column("anchors").slice(low, high - low).to_pylist()]
-                split = [np.frombuffer(b"".join(x), dtype="<i4") for x in batch.column("splits").slice(low, high - low).to_pylist()]
                 owner = np.repeat(np.arange(len(own)), [len(k) for k in known])
-                known, split = np.concatenate(known), np.concatenate(split)
+                known = np.concatenate(known)
                 # One number for text and anchor; a chance hit only adds a string that no other text shares.
                 table = _mixed(known + owner.astype(_U) * _U(_BASE))
-                order = np.argsort(table)
-                table, wanted = table[order], _mixed(anchor + text.astype(_U) * _U(_BASE))
+                table, wanted = np.sort(table), _mixed(anchor + text.astype(_U) * _U(_BASE))
                 at = np.minimum(np.searchsorted(table, wanted), max(len(table) - 1, 0))
                 found = table[at] == wanted if len(table) else np.zeros(len(text), dtype=bool)
-                text, first, count, anchor, split = text[found], first[found], count[found], anchor[found], split[order][at[found]]
+                text, first, count, anchor = text[found], first[found], count[found], anchor[found]
+                hot_anchors, groups = hot.value
+                split = np.ones(len(anchor), dtype=np.int64)
+                if len(hot_anchors):
+                    at = np.minimum(np.searchsorted(hot_anchors, anchor), len(hot_anchors) - 1)
+                    split = np.where(hot_anchors[at] == anchor, groups[at], 1)
                 judge = (_U(1) << count.astype(_U)) - _U(1)
                 if (split > 1).any():
                     text, first, count, anchor, judge = _spread(own, text, first, count, anchor, judge, split)
@@ -392,9 +465,16 @@ def _spread(own: list[bytes], text, first, count, anchor, judge, split):
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each text, its windows that a smaller document has too: (first window, mask) of runs."""
     kinds = {"anchors": "<u8", "sizes": "<u2", "judges": "<u4", "places": "<i8", "names": "<i8", "firsts": "<u4", "body": "u1"}
-    got = _gather(batches, kinds)
-    if not len(got["anchors"]):
-        return
+    held = None  # of a bucket that does not end yet
+    for got, ended in _buckets(batches, kinds, JUDGED_BYTES):
+        held = got if held is None else {c: np.r_[held[c], got[c]] for c in kinds}
+        if ended:
+            if len(held["anchors"]):
+                yield from _judge(held)
+            held = None
+
+
+def _judge(got: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     sizes = got["sizes"].astype(np.int64)
     ends, body = np.cumsum(sizes), got["body"].tobytes()
     begins = ends - sizes
@@ -404,6 +484,8 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     same = lambda x: x[order][1:] == x[order][:-1]
     new_anchor = np.r_[True, ~same(got["anchors"])]
     new_string = np.r_[True, ~(same(got["anchors"]) & same(hashed) & same(got["judges"]))]
+    again = np.flatnonzero(~new_string)
+    new_string[again] = ~_equal(got["body"], begins, sizes, order[again], order[again - 1])
     string_at = np.flatnonzero(new_string)
     string = np.cumsum(new_string) - 1  # of each row in order
     least = got["places"][order][string_at]  # the smallest document of each different string
@@ -424,6 +506,17 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([place[i[0]] for i in part], pa.int64()), pa.array([name[i[0]] for i in part], pa.int64()), _binary([first[i] for i in part]), _binary([mask[i] for i in part])], names=["place", "h1", "firsts", "masks"])
 
 
+def _equal(body: np.ndarray, begins: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the strings x[i] and y[i] are the same bytes."""
+    out = sizes[x] == sizes[y]
+    for low in range(0, len(x), 1 << 15):
+        p, q = x[low : low + (1 << 15)], y[low : low + (1 << 15)]
+        n = np.minimum(sizes[p], sizes[q])
+        differs = body[_ragged(begins[p], n)] != body[_ragged(begins[q], n)]
+        out[low : low + (1 << 15)] &= ~np.logical_or.reduceat(differs, np.cumsum(n) - n)
+    return out
+
+
 def _judge_groups(groups, anchor_at, in_group, head, begins, sizes, body, judges, least, early) -> None:
     """Orders the suffixes of each group's strings; windows that are equal stand together."""
     number = np.repeat(np.arange(len(groups)), in_group[groups])
@@ -505,18 +598,21 @@ def dedup_substrings(docs: DataFrame, buckets: int | None = None, hot_texts: int
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     partitions = shuffle_partitions(spark)
-    buckets = buckets or 4 * partitions
+    buckets = buckets or 8 * partitions
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LATEST)).alias("place"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), text.alias("text"))
     names = scratch.save(rows.select("place", "h1", "h2").distinct())
     least = scratch.save(names.groupBy("h1", "h2").agg(F.min("place").alias("place")))
-    anchors = rows.select("h1", "text").mapInArrow(_anchors(buckets), "bucket long, anchors binary, names binary").repartition(partitions, "bucket")
-    shared = scratch.save(anchors.mapInArrow(_shared(hot_texts), "h1 long, anchors binary, splits binary"))
-    wanted = shared.groupBy("h1").agg(F.collect_list("anchors").alias("anchors"), F.collect_list("splits").alias("splits"))
+    anchors = rows.select("h1", "text").mapInArrow(_anchors(buckets), "bucket long, anchors binary, names binary").repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    shared = scratch.save(anchors.mapInArrow(_shared(hot_texts), "h1 long, anchors binary, anchor long, n long"))
+    hot = spark.sparkContext.broadcast(_hot_anchors(shared, hot_texts))  # a million pairs of numbers at most
+    wanted = shared.where("h1 is not null").groupBy("h1").agg(F.collect_list("anchors").alias("anchors"))
     wanted = least.join(wanted, "h1")
-    found = rows.join(wanted, ["place", "h1", "h2"]).select("place", "h1", "text", "anchors", "splits")
-    strings = found.mapInArrow(_strings(buckets), "bucket long, anchors binary, sizes binary, judges binary, places binary, names binary, firsts binary, body binary")
-    judged = scratch.save(strings.repartition(partitions, "bucket").mapInArrow(_judged, "place long, h1 long, firsts binary, masks binary"))
+    found = rows.join(wanted, ["place", "h1", "h2"]).select("place", "h1", "text", "anchors")
+    strings = found.mapInArrow(_strings(buckets, hot), "bucket long, anchors binary, sizes binary, judges binary, places binary, names binary, firsts binary, body binary")
+    strings = strings.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    judged = scratch.save(strings.mapInArrow(_judged, "place long, h1 long, firsts binary, masks binary"))
+    scratch.drop(shared)
     windows = judged.groupBy("place", "h1").agg(F.collect_list("firsts").alias("firsts"), F.collect_list("masks").alias("masks"))
     copies = names.join(least.withColumnRenamed("place", "least"), ["h1", "h2"]).withColumn("copy", F.col("place") > F.col("least")).drop("least")
     verdicts = copies.join(windows, ["place", "h1"], "left").where("copy or firsts is not null")
