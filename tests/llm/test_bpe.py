@@ -54,3 +54,31 @@ def test_edge_rows(spark, packed):
     got = sorted(((r.doc_id, bytes(r.ids) if packed else np.array(r.ids, dtype="<u4").tobytes(), r.decoded) for r in bpe.encode(df, packed=packed).collect()), key=str)
     assert got == sorted(((d, *whole(t)) for d, t in rows), key=str)
     assert bpe.encode(df.limit(0), packed=packed).collect() == []
+
+
+def test_most_repeated_bytes_are_reused(spark):
+    """Chunks that any earlier chunk of 10,000 documents repeats, as a share of all bytes, and what the kept ones carry of it."""
+    texts = [(r.text or "").encode() for r in table(spark, "/root/testdata/sf0.1", "documents").select("text").collect()]
+    encoder, seen, repeated = bpe.Encoder(bpe.default_tokenizer()), set(), 0
+    for low in range(0, len(texts), 100):
+        part = texts[low : low + 100]
+        encoder.encode(part)
+        for t in part:
+            bounds = [0, *bpe.cuts(np.frombuffer(t, dtype=np.uint8), bpe.CHUNK_BYTES).tolist(), len(t)]
+            for a, b in zip(bounds, bounds[1:]):
+                repeated += (b - a) * (t[a:b] in seen)
+                seen.add(t[a:b])
+    print("of", encoder.bytes, "bytes repeat", repeated / encoder.bytes, "reused", encoder.reused / encoder.bytes)
+    assert encoder.bytes == sum(map(len, texts)) and repeated > 0
+    assert 0.8 * repeated < encoder.reused <= repeated * 1.01
+
+
+def test_copies_are_encoded_once():
+    text = " ".join(random_texts(3, 200)).encode()
+    encoder = bpe.Encoder(bpe.default_tokenizer())
+    assert len(text) > 20_000
+    (want,) = encoder.encode([text])
+    before = encoder.reused
+    moved = b"a shifted start " + text
+    assert encoder.encode([text, moved])[0] == want
+    assert encoder.reused - before > 1.9 * len(text)

@@ -1,9 +1,9 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 A text is cut into chunks where a rolling hash of eight bytes falls below a bound, so passages that documents
-share give the same chunks. A chunk is encoded once in a task and kept; of a chunk only its core, the
-words between its first and its last white space, can be reused as it is. Joins are repaired: what stands
-around a cut is re-encoded, over as many chunks as it takes to reach white space on both sides, where the
+share give the same chunks. A chunk is encoded once in a task and kept under its 128-bit hash; of a chunk only its
+core, the words between its first and its last white space, can be reused as it is. Joins are repaired: what
+stands around a cut is re-encoded, over as many chunks as it takes to reach white space on both sides, where the
 encodings agree exactly because the tokenizer drops white space and never merges across it.
 """
 
@@ -16,15 +16,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, tidy, utf8
 
 #: One cut in so many bytes, on average.
-CHUNK_BYTES = 256
-#: Kept chunks and pieces for each task; a full store is emptied, and so are all when the task ends.
-KEPT_CHUNKS, KEPT_PIECES = 6_000, 90_000
+CHUNK_BYTES = 512
+#: Chunks kept for each task: the last so many, and as many before them. A chunk that is met again counts as new.
+KEPT_CHUNKS = 20_000
+#: Pieces and parts kept for each task; a full store is emptied. All stores are emptied when the task ends.
+KEPT_PIECES = 80_000
 #: Texts are encoded in slices of about so many bytes.
 ENCODED_BYTES = 3 << 17
 
@@ -43,7 +46,7 @@ def default_tokenizer() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
-def cuts(data: np.ndarray, one_in: int = CHUNK_BYTES) -> np.ndarray:
+def cuts(data: np.ndarray, one_in: int) -> np.ndarray:
     """Places in ``data`` after which a chunk ends: those whose last eight bytes hash below a bound."""
     n = len(data) - 7
     if n <= 0:
@@ -151,6 +154,8 @@ class Encoder:
             raise ValueError("the tokenizer must drop white space")
         self.merges = Merges.of(self.tokenizer)
         self.chunks: dict[bytes, tuple] = {}
+        self.older: dict[bytes, tuple] = {}
+        self.bytes = self.reused = 0  # in all, and in chunks that were kept
         self.pieces: dict[bytes, tuple[bytes, str]] = {}
         self.parts: dict[str, tuple[bytes, str]] = {}
 
@@ -206,12 +211,14 @@ class Encoder:
     def _encode(self, texts: list[bytes]) -> list[tuple[bytes, str]]:
         data = b"".join(texts)
         ends = np.cumsum([len(t) for t in texts])
-        at = cuts(np.frombuffer(data, dtype=np.uint8))
+        at = cuts(np.frombuffer(data, dtype=np.uint8), CHUNK_BYTES)
         owner = np.searchsorted(ends, at, side="left")
         at = at[(owner < len(ends)) & (at - (ends - [len(t) for t in texts])[np.minimum(owner, len(ends) - 1)] >= 8)]
         bounds = np.union1d(at, ends).tolist()
         if len(self.chunks) > KEPT_CHUNKS:
-            self.chunks.clear()
+            self.older, self.chunks = self.chunks, {}
+        self.bytes += len(data)
+        digest, kept, older = xxhash.xxh3_128_digest, self.chunks, self.older
         # Which chunks are new, and which pieces do they and the joins need?
         docs, begin, k, need, fresh = [], 0, 0, set(), {}
         for end in ends.tolist():
@@ -221,10 +228,15 @@ class Encoder:
                 chunk = data[begin : bounds[k]]
                 begin = bounds[k]
                 k += 1
-                known = self.chunks.get(chunk) or fresh.get(chunk)
+                name = digest(chunk)
+                known = kept.get(name) or fresh.get(name)
+                if known is None and (known := older.get(name)):
+                    kept[name] = known
                 if known is None:
-                    known = fresh[chunk] = self._cut_up(chunk)
+                    known = fresh[name] = self._cut_up(chunk)
                     need.update(known[3])
+                else:
+                    self.reused += len(chunk)
                 if known[0] is None:
                     carry += chunk
                     continue
@@ -244,11 +256,11 @@ class Encoder:
             if len(pieces) + len(missing) > KEPT_PIECES:
                 missing = need
             self._learn(list(missing))
-        for chunk, (head, tail, core, words) in fresh.items():
+        for name, (head, tail, core, words) in fresh.items():
             got = [pieces[w] for w in words]
             core.append(b"".join([g[0] for g in got]))
             core.append(" ".join([g[1] for g in got if g[1]]))
-            self.chunks[chunk] = (head, tail, core, ())
+            kept[name] = (head, tail, core, ())
         out = []
         for parts in docs:
             got = [pieces[p] if type(p) is bytes else p[2] for p in parts]
@@ -256,7 +268,7 @@ class Encoder:
         return out
 
     def forget(self) -> None:
-        for store in (self.chunks, self.pieces, self.parts):
+        for store in (self.chunks, self.older, self.pieces, self.parts):
             store.clear()
 
     @staticmethod
