@@ -16,7 +16,8 @@ def byte_shards(docs: DataFrame, shards: int = 24, overhead: int = 8) -> DataFra
     CRC, size and a hash of the text; rows equal in all of these are interchangeable. A row goes to the shard
     whose equal share of all bytes holds the middle of the row's own bytes, so shards are contiguous in that
     order and differ from the share by less than one row. slot numbers a shard's rows from 0. law is 'bytes' and
-    grown_shard is null. Other columns are ignored; an empty table gives an empty result.
+    grown_shard is null. Other columns are ignored; an empty table gives an empty result. Twice the bytes of all times
+    ``shards`` must be below 2 ** 63, which is 46,000 shards of 100 TB.
 
     Rows are dealt by ranges once; only each range's totals meet in one task, never the rows. Rows that share a
     doc_id, however many, are spread over ranges by the later keys and a row number.
