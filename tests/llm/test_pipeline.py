@@ -1,7 +1,7 @@
 import numpy as np
 
 import corpus_pipeline
-from tests.llm import test_bpe, test_decontaminate, test_lines, test_simhash
+from tests.llm import test_bpe, test_decontaminate, test_lines, test_shingles
 from tidemark.llm import quality
 from tidemark.llm.common import table
 
@@ -42,19 +42,32 @@ def test_stages_match_brute_force(spark):
     logit = model.bias + sum((w * quality.holds(r, stats) for r, w in zip(model.rules, model.weights, strict=True)), np.zeros(len(rows)))
     rows = [r for r, z in zip(rows, 1 / (1 + np.exp(-logit)), strict=True) if z >= 0.3]
     rows = brute_lines(rows)
-    kept = {d for d, _, c in test_simhash.brute(rows) if d == c}
+    kept = {d for d, c in test_shingles.brute(rows).items() if d == c}
     rows = [r for r in rows if r[0] in kept]
     items = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()]
-    leaks = {r[0] for r in test_decontaminate.brute(rows, items) if r[5]}
+    leaks = {r[0] for r in test_decontaminate.brute(rows, items) if r[3]}
     want = sorted((d, test_bpe.whole(t)[0]) for d, t in rows if d not in leaks)
     got = sorted((r.doc_id, np.array(r.ids, dtype="<u4").tobytes()) for r in corpus_pipeline.run(spark, sf).collect())
     assert got == want
     assert 0 < len(got) < docs.count()
 
 
+def test_passages_of_one_item_go(spark):
+    """A document with a passage of one benchmark item is dropped, whatever its doc_id; those with less than a window stay."""
+    items = [r.text.split() for r in table(spark, "/root/testdata/sf0.001", "benchmark").orderBy("item_id").collect()]
+    long = next(x for x in items if len(x) >= 10)
+    passage, short = " ".join(long[:9]), " ".join(long[:7])
+    rows = [(1, f"clean words before {passage} and after"), (2, f"clean words before {short} and other ones after"), (3, "nothing of it"), (None, f"no id {passage}"), (None, "no id, clean"), (4, passage.upper()), (5, None), (6, "")]
+    rows += [(7, "the same id, clean"), (7, f"the same id {passage}")]
+    docs = spark.createDataFrame([(d, t, i, "x", "y") for i, (d, t) in enumerate(rows)], "doc_id long, text string, id__ int, gone string, GONE_ string")
+    got = corpus_pipeline.drop_leaks(spark, docs, "/root/testdata/sf0.001")
+    assert got.columns == docs.columns and sorted(r.id__ for r in got.collect()) == [1, 2, 4, 6, 7, 8]
+
+
 def test_stages_take_odd_rows(spark):
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
-    rows = [(1, None, "en", "s", 0), (2, "", None, None, None), (None, "a b c", "en", "s", 5), (3, "x y\nx y", "en", "s", 7), (3, "x y\nx y", "en", "s", 7)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id__ int, place__ int, row string, whole long, gone string, node long, line int"
+    more = (1, 2, "r", 4, "g", 6, 7)
+    rows = [(1, None, "en", "s", 0, *more), (2, "", None, None, None, *more), (None, "a b c", "en", "s", 5, *more), (3, "x y\nx y", "en", "s", 7, *more), (3, "x y\nx y", "en", "s", 7, *more)]
     for data in (rows, []):
         docs = spark.createDataFrame(data, schema)
         for _, stage in corpus_pipeline.STAGES[:-1]:

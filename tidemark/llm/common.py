@@ -179,6 +179,23 @@ def salted(rows: DataFrame, key: str, side: str, ident: str, most: int, scratch:
     return out.withColumn("cell", F.when(s == 1, F.col(key)).otherwise(F.xxhash64(key, "cell__"))).drop("s__", "cell__")
 
 
+def spread(rows: DataFrame, table: DataFrame, keys: list[str], ident: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join by ``keys`` with a column ``part``, to be joined by too, so that no task gets a hot key alone.
+
+    ``table`` is saved and has each key once, with its number of rows ``n`` in ``rows``. A key of over ``hot_rows`` rows, or
+    a ten-thousandth of all, has several parts, to which its rows go by ``ident``.
+    """
+    total, most = table.agg(F.sum("n"), F.max("n")).first()
+    limit = max(hot_rows, (total or 0) // 10_000)
+    if (most or 0) <= limit:
+        return rows.withColumn("part", F.lit(0)), table.withColumn("part", F.lit(0))
+    hot = F.broadcast(table.where(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("parts__")))  # 10,000 rows at most
+    mine = F.pmod(F.xxhash64(*ident), F.col("parts__").cast("long")).cast("int")
+    rows = rows.join(hot, keys, "left").withColumn("part", F.coalesce(mine, F.lit(0))).drop("parts__")
+    parts = F.sequence(F.lit(0), F.coalesce(F.col("parts__"), F.lit(1)) - 1)
+    return rows, table.join(hot, keys, "left").withColumn("part", F.explode(parts)).drop("parts__")
+
+
 class BitFilter:
     """Tells which 64-bit hashes are not in a set. It has 64 bits, or more, for each of up to 4 million; above that it
     stays at 32 MB and lets more through."""

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitFilter, Scratch, shuffle_partitions, slices, sorted_runs, tidy, utf8
+from .common import BitFilter, Scratch, shuffle_partitions, slices, sorted_runs, spread, tidy, utf8
 
 #: Shorter lines are removed only if they are equal to an earlier one, unless another length is asked for.
 LEAST_BYTES = 24
@@ -334,19 +334,6 @@ def near_lines(rows: DataFrame, first: DataFrame, scratch: Scratch, least_bytes:
     return pairs.mapInArrow(_verified, "a long, b long").distinct()
 
 
-def _spread(places: DataFrame, marked: DataFrame, hot_lines: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides of the join by line with a column ``part``: a line of over ``hot_lines`` occurrences, or a ten-thousandth of all, has several."""
-    total, most = marked.agg(F.sum("n"), F.max("n")).first()
-    limit = max(hot_lines, (total or 0) // 10_000)
-    if (most or 0) <= limit:
-        return places.withColumn("part", F.lit(0)), marked.withColumn("part", F.lit(0))
-    hot = F.broadcast(marked.where(F.col("n") > limit).select("a", "b", F.ceil(F.col("n") / limit).cast("int").alias("parts")))  # 10,000 rows at most
-    mine = F.pmod(F.xxhash64("place", "row", "line"), F.col("parts").cast("long")).cast("int")
-    places = places.join(hot, ["a", "b"], "left").withColumn("part", F.coalesce(mine, F.lit(0))).drop("parts")
-    parts = F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)
-    return places, marked.join(hot, ["a", "b"], "left").withColumn("part", F.explode(parts)).drop("parts")
-
-
 def _without(text: pa.Array, gone: pa.Array) -> pa.Array:
     """Each text without the lines whose numbers are gone; null where none are."""
     out = []
@@ -384,7 +371,7 @@ def dedup_lines(docs: DataFrame, edits: int = 1, keep: tuple[str, ...] = ("doc_i
     else:
         marked = first.withColumn("late", F.lit(None).cast("boolean"))
     marked = scratch.save(marked.where("n > 1 or late"))
-    dealt, marked = _spread(places, marked, hot_lines)
+    dealt, marked = spread(places, marked, ["a", "b"], ["place", "row", "line"], hot_lines)
     judged = dealt.join(marked, ["a", "b", "part"]).where(F.col("late").isNotNull() | (pos > F.col("pos")))
     gone = judged.groupBy("place", "row").agg(F.collect_set("line").alias("gone__"))
     whole = docs.select(*keep, place.alias("place__"), row.alias("row__"), text.alias("text__"))
