@@ -375,10 +375,10 @@ def _shared(hot_texts: int, least: int = 1 << 24):
             number[of[old]] += counts[order[old]] - 1
             emit = other.copy()
             emit[begin[several & ~seen]] = True
-            rows = list(_deal(name[emit]))
+            told_anchor, rows = anchor[emit], list(_deal(name[emit]))
             for low in range(0, len(rows), 20000):
                 part = rows[low : low + 20000]
-                yield _told(pa.array([n for n, _ in part], pa.int64()), _binary([anchor[emit][i] for _, i in part]))
+                yield _told(pa.array([n for n, _ in part], pa.int64()), _binary([told_anchor[i] for _, i in part]))
             known, firsts, told, counts = anchor[begin], name[begin], seen | several, number
             if ended:
                 total += int(number.sum())
