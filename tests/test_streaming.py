@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import MemoryQueryCache, ParquetQueryCache, QueryCacheConfig
-from tidemark.streaming.feeder import StateFeeder, windowed_counts
+from tidemark.streaming.feeder import StateFeeder
+from tidemark.streaming.windows import windowed_counts
 
 START = datetime(2024, 1, 1)
 SCHEMA = "ts timestamp_ntz, kind string, value long"

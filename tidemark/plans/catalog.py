@@ -11,7 +11,8 @@ from dataclasses import dataclass
 from datetime import UTC, date, datetime
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import QueryCacheConfig, micros
@@ -88,6 +89,9 @@ CATALOG: dict[str, Query] = {
     "cube_type": Query("select event_type, user_id % 3 as bucket, count(*) as n, grouping(event_type) as g from events group by cube (event_type, user_id % 3)", duck="select event_type, user_id % 3 as bucket, count(*) as n, cast(grouping(event_type) as tinyint) as g from events group by cube (event_type, user_id % 3)"),
     "rollup_q": Query(f"select {_DAY} as day, event_type, count(*) as n from events group by rollup (1, 2)", duck="select cast(date_trunc('day', ts) as timestamp) as day, event_type, count(*) as n from events group by rollup (1, 2)"),
     "window_buckets": Query("select window(ts, '6 hours').start as bucket, count(*) as n from events group by window(ts, '6 hours')", duck="select time_bucket(interval '6 hours', ts, timestamp '1970-01-01 00:00:00') as bucket, count(*) as n from events group by 1"),
+    "string_functions": Query("select concat_ws('-', upper(event_type), substring(event_type, 1, 2)) as k, regexp_replace(event_type, '[aeiou]', '') as consonants, count(*) as n, max(length(regexp_extract(props, '([0-9]+)', 1))) as digits, min(trim(lower(event_type))) as low from events where event_type rlike '^[a-z]+$' group by 1, 2", duck="select concat_ws('-', upper(event_type), substring(event_type, 1, 2)) as k, regexp_replace(event_type, '[aeiou]', '', 'g') as consonants, count(*) as n, cast(max(length(regexp_extract(props, '([0-9]+)', 1))) as int) as digits, min(trim(lower(event_type))) as low from events where regexp_matches(event_type, '^[a-z]+$') group by 1, 2"),
+    "nested_functions": Query("select element_at(map('click', 1, 'view', 2), event_type) as code, size(split(event_type, 'i')) as parts, array_contains(array('click', 'error'), event_type) as known, sum(named_struct('a', user_id, 'b', value).a) as total from events group by 1, 2, 3", duck="select case event_type when 'click' then 1 when 'view' then 2 end as code, cast(len(string_split(event_type, 'i')) as int) as parts, event_type in ('click', 'error') as known, cast(sum(user_id) as bigint) as total from events group by 1, 2, 3"),
+    "date_functions": Query("select dayofweek(ts) as weekday, hour(ts) as hour, count(*) as n, max(datediff(cast(ts as date), date '2024-01-01')) as days, min(cast(ts + interval 1 day as date)) as next_day from events group by 1, 2", duck="select cast(dayofweek(ts) + 1 as int) as weekday, cast(hour(ts) as int) as hour, count(*) as n, cast(max(date_diff('day', date '2024-01-01', cast(ts as date))) as int) as days, min(cast(ts + interval 1 day as date)) as next_day from events group by 1, 2"),
     "json_dimension": Query("select cast(get_json_object(props, '$.k') as bigint) % 4 as k, count(*) as n from events group by 1", duck="select cast(json_extract_string(props, '$.k') as bigint) % 4 as k, count(*) as n from events group by 1"),
     "subquery_cached": Query(f"select max(n) as busiest, min(n) as quietest, count(*) as days from (select {_DAY} as day, count(*) as n from events group by 1)"),
     "narrow_subquery": Query("select kind, count(*) as n from (select upper(event_type) as kind from (select event_type, value from events) where value > 2) group by kind"),
@@ -246,6 +250,56 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def _sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cached result written in several formats and read again."""
+    rows, cache, folder, out = spark.read.parquet(f"{sf_dir}/events.parquet"), MemoryQueryCache(), own_folder(spark, "sinks"), None
+    for until in (GROWING["events"][1], LATER):
+        session = _session(spark, CATALOG["daily_by_type"], cache, until)
+        session.register_table("events", rows.where(F.col("ts") < F.lit(until).cast("timestamp_ntz")))
+        got = session.sql("select event_type, count(*) as n, max(value) as high from events group by event_type")
+    assert [s.hit for s in session.stats] == [True]
+    for form in ("csv", "json", "orc", "parquet"):
+        got.write.format(form).save(f"{folder}/{form}")
+        again = spark.read.format(form).schema(got.schema).load(f"{folder}/{form}").select(F.lit(form).alias("sink"), "*")
+        out = again if out is None else out.union(again)
+    return out
+
+
+def _user_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries with functions written in Python are left to Spark: nothing is known of them."""
+    wanted = F.udf(lambda x: x % 3 == 1, "boolean")
+
+    @F.pandas_udf("long")
+    def total(x: pd.Series) -> int:
+        return int((x % 100).sum())
+
+    session = _session(spark, CATALOG["daily_by_type"], MemoryQueryCache(), LATER)
+    session.register_table("events", spark.read.parquet(f"{sf_dir}/events.parquet"))
+    table = spark.table("events")
+    scalar = session.run(table.where(wanted("user_id")).groupBy("event_type").agg(F.count("*").alias("n")))
+    refused = list(session.stats)
+    whole = session.run(table.groupBy("event_type").agg(total("user_id").alias("total"), F.first("event_type").alias("x")).drop("x"))
+    counts = table.groupBy("event_type").agg(F.count("*").alias("n"))
+    assert not refused and not session.stats
+    zero = F.lit(0).cast("long").alias("total")
+    return scalar.select(F.lit("scalar").alias("kind"), "event_type", "n", zero).union(whole.join(counts, "event_type").select(F.lit("aggregate"), "event_type", "n", "total"))
+
+
+def _asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each hour with the latest day that was over by then, both from state: a union, and the last row before each."""
+    rows, cache = spark.read.parquet(f"{sf_dir}/events.parquet"), MemoryQueryCache()
+    texts = [f"select {_HOUR} as hour, count(*) as n from events where event_type = 'click' group by 1", f"select {_DAY} + interval 1 day as known, count(*) as n from events group by 1"]
+    for until in (GROWING["events"][1], LATER):
+        session = _session(spark, CATALOG["daily_by_type"], cache, until)
+        session.register_table("events", rows.where(F.col("ts") < F.lit(until).cast("timestamp_ntz")))
+        hours, days = (session.sql(_text(t, "timestamp_ntz")) for t in texts)
+    none = F.lit(None).cast("long")
+    both = hours.select("hour", F.col("n"), none.alias("day_n"), F.lit(1).alias("side")).union(days.select("known", none, "n", F.lit(0)))
+    before = Window.orderBy("hour", "side").rowsBetween(Window.unboundedPreceding, 0)
+    # One window over all, as these are a few hundred rows; a table with keys has it by key.
+    return both.withColumn("last_day", F.last("day_n", ignorenulls=True).over(before)).where("side = 1 and last_day is not null").select("hour", "n", "last_day")
+
+
 def _dataframes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query of the DataFrame interface, answered from state."""
     rows, cache = spark.read.parquet(f"{sf_dir}/events.parquet"), MemoryQueryCache()
@@ -259,16 +313,24 @@ def _dataframes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from ..streaming import windows
     from ..streaming.feeder import streamed_counts
 
     return {n: _runner(n, q) for n, q in CATALOG.items()} | {
         "cache_stats": _cache_stats, "explicit_agg": _explicit, "streaming_feed": streamed_counts, "explain_rows": _explained, "operator_metrics": _metrics, "other_sources": _sources, "dataframe_api": _dataframes,
+        "file_sinks": _sinks, "user_functions": _user_functions, "asof_join_above": _asof, **windows.queries(),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     out = {n: _text(q.duck or q.sql, "timestamp") for n, q in CATALOG.items()}
     out["explicit_agg"] = "select event_type, round(avg(value), 3) as mean, count(*) as n, arg_max(value, ts) as last_value from events group by event_type"
+    from ..streaming import windows
+
+    out |= windows.oracle_sql()
+    out["file_sinks"] = "select sink, event_type, count(*) as n, max(value) as high from events, (values ('csv'), ('json'), ('orc'), ('parquet')) as t(sink) group by sink, event_type"
+    out["user_functions"] = "select 'scalar' as kind, event_type, count(*) as n, 0 as total from events where user_id % 3 = 1 group by event_type union all select 'aggregate', event_type, count(*), cast(sum(user_id % 100) as bigint) from events group by event_type"
+    out["asof_join_above"] = "select h.hour, h.n, d.n as last_day from (select cast(date_trunc('hour', ts) as timestamp) as hour, count(*) as n from events where event_type = 'click' group by 1) h asof join (select cast(date_trunc('day', ts) as timestamp) + interval 1 day as known, count(*) as n from events group by 1) d on h.hour >= d.known"
     out["dataframe_api"] = "select event_type, count(*) as n, round(avg(value), 4) as mean from events where value > 2 group by event_type having count(*) > 3"
     out["other_sources"] = "select source, event_type, count(*) as n, max(value) as high, count(distinct user_id) as users from events, (values ('csv'), ('json'), ('orc'), ('parquet')) as t(source) group by source, event_type"
     out["explain_rows"] = "select * from (values ('counts', true, true, false, true), ('same', true, true, false, true), ('filtered', true, false, false, false), ('limited', false, false, true, false)) as t(query, miss_before, hit_after, refused, same_key)"

@@ -68,11 +68,6 @@ class StateFeeder:
         return cached_agg(rows, self.config.with_override_now(now), self.temporal, **self.spec, mode="read")
 
 
-def windowed_counts(stream: DataFrame, temporal: str, width: str, watermark: str, *keys: str) -> DataFrame:
-    """Counts by event-time window, with late rows dropped after the watermark: the stream's own form of a bucketed aggregate."""
-    return stream.withWatermark(temporal, watermark).groupBy(F.window(temporal, width), *keys).count()
-
-
 def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events before a cut arrive as a stream of several batches, out of order and with a restart of the feeder in between.
 
