@@ -89,6 +89,15 @@ def test_statistics_match_a_plain_count(spark):
         assert np.allclose(quality.statistics_of(t.encode()), plain_statistics(t.encode()))
 
 
+def test_long_texts_are_counted_in_parts(monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = [b"", b"\n", b" \n\n ", b"a a a\na a", b"x" * 90] + [b"".join(rng.choice([b"ab ", b"ab\n", b"c", b"\n", b"\t", b"Long-word"], 60).tolist()) for _ in range(40)]
+    want = [quality.statistics_of(t) for t in texts]
+    for size in (1, 7, 50):
+        monkeypatch.setattr(quality, "PART_BYTES", size)
+        assert [quality.statistics_of(t) for t in texts] == want
+
+
 def test_lasso_weights_are_optimal():
     """At the optimum the gradient is the penalty, against the sign, where a weight is not zero, and no larger elsewhere."""
     rng = np.random.default_rng(6)

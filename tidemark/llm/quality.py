@@ -7,6 +7,7 @@ column expression over the statistics.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -14,6 +15,7 @@ from operator import eq
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,14 +34,49 @@ STATISTICS = (
 )
 
 
+#: Longer texts are counted in parts of about so many bytes.
+PART_BYTES = 1 << 20
+_SPACE, _LINE = re.compile(rb"[ \t\n\r\x0b\x0c]"), re.compile(rb"\n")
+
+
+def _parts(text: bytes, border: re.Pattern) -> Iterator[bytes]:
+    """``text`` cut before a border, about every PART_BYTES; a cut border goes with neither part."""
+    at = 0
+    while at <= len(text):
+        found = border.search(text, at + PART_BYTES)
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end + 1
+
+
+def _counts(text: bytes) -> tuple[int, int, int, int, int, int]:
+    """Numbers of words, their bytes, different ones, repetitions of the word before, lines, and different lines."""
+    if len(text) <= PART_BYTES:
+        words, lines = text.split(), text.split(b"\n")
+        return len(words), sum(map(len, words)), len(set(words)), sum(map(eq, words, words[1:])), len(lines), len(set(lines))
+    hashed = lambda parts: np.fromiter(map(xxhash.xxh3_64_intdigest, parts), dtype=np.uint64, count=len(parts))
+    n = size = repeated = n_lines = 0
+    last, seen, seen_lines = [], np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    for part in _parts(text, _SPACE):
+        words = part.split()
+        n, size = n + len(words), size + sum(map(len, words))
+        repeated += sum(map(eq, last + words, (last + words)[1:]))
+        last, seen = words[-1:] or last, np.union1d(seen, hashed(words))
+    for part in _parts(text, _LINE):
+        lines = part.split(b"\n")
+        n_lines, seen_lines = n_lines + len(lines), np.union1d(seen_lines, hashed(lines))
+    return n, size, len(seen), repeated, n_lines, len(seen_lines)
+
+
 def statistics_of(text: bytes) -> tuple[float, ...]:
     """The numbers named in STATISTICS of one whole text; shares are by byte, or by word. An empty text has zeros."""
-    words, lines, n = text.split(), text.split(b"\n"), max(len(text), 1)
-    w = max(len(words), 1)
+    n = max(len(text), 1)
+    words, word_bytes, distinct, repeated, lines, distinct_lines = _counts(text)
+    w = max(words, 1)
     share = lambda chars: 1 - len(text.translate(None, chars)) / n if text else 0.0
     return (
-        float(np.log1p(len(text))), float(np.log1p(len(words))), sum(map(len, words)) / w, len(lines) / w, share(_UPPER), share(_DIGIT), share(_STOP), share(_PAUSE), share(_SHOUT),
-        share(_SYMBOL), share(_HIGH), len(set(words)) / w, sum(map(eq, words, words[1:])) / w, len(set(lines)) / len(lines),
+        float(np.log1p(len(text))), float(np.log1p(words)), word_bytes / w, lines / w, share(_UPPER), share(_DIGIT), share(_STOP), share(_PAUSE), share(_SHOUT),
+        share(_SYMBOL), share(_HIGH), distinct / w, repeated / w, distinct_lines / lines,
     )
 
 
