@@ -32,7 +32,7 @@ TOGETHER = 1024
 #: Under an anchor of more texts than this, windows are dealt to several groups by their own hash.
 HOT_TEXTS = 1 << 15
 #: Strings are judged in parts of about so many bytes, or one bucket.
-JUDGED_BYTES = 1 << 24
+JUDGED_BYTES = 1 << 26
 
 _LATEST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -347,7 +347,7 @@ def _buckets(batches: Iterator[pa.RecordBatch], columns: dict[str, str], least:
     yield taken(), True
 
 
-def _shared(hot_texts: int, least: int = 1 << 24):
+def _shared(hot_texts: int, least: int = 1 << 26):
     """For each text (h1), its anchors in this partition that other texts have too. Rows without h1 tell what is hot:
     an anchor and its number of texts if that is over ``hot_texts``, and without anchor the number of all.
 
