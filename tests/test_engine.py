@@ -145,7 +145,7 @@ def test_increments_equal_plain_spark(spark, group):
     key = group.removeprefix("group by ")
     select = ", ".join([*([f"{key} as k"] if key else []), *(f"{a} as a{i}" for i, a in enumerate(AGGREGATES))])
     data, cache = rows(spark), MemoryQueryCache()
-    for minutes, ahead in ((0, 0), (700, 100), (1500, 0), (1500, 0), (9999, 0)):
+    for minutes, ahead in ((0, 0), (700, 100), (1500, 0), (9999, 0)):
         now = START + timedelta(minutes=minutes)
         config = QueryCacheConfig("t.ts", cache).with_group_by_function("date_trunc").with_override_now(now)
         session = with_query_cache(spark, config)
