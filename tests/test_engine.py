@@ -448,3 +448,20 @@ def test_outer_joins_with_immutable_tables(spark):
         for sql, kept in texts.items():
             check(session, sql, spark)
             assert bool(session.stats) == kept
+
+
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "local-cluster[3,2,3000]", "k8s://x"])
+def test_a_cluster_needs_a_shared_folder(master):
+    from types import SimpleNamespace
+
+    from tidemark.sources.folders import shared_folder
+
+    settings = {}
+    spark = SimpleNamespace(conf=SimpleNamespace(get=settings.get, set=settings.__setitem__), sparkContext=SimpleNamespace(master=master))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(spark)
+    settings["spark.checkpoint.dir"] = "hdfs://x/y/"
+    assert shared_folder(spark) == "hdfs://x/y"
+    settings.clear()
+    spark.sparkContext.master = "local[4]"
+    assert shared_folder(spark).startswith("file:///") and settings
