@@ -27,7 +27,7 @@ CHUNK_BYTES = 512
 #: Chunks kept for each task: the last so many, and as many before them. A chunk that is met again counts as new.
 KEPT_CHUNKS = 20_000
 #: Pieces and parts kept for each task; a full store is emptied. All stores are emptied when the task ends.
-KEPT_PIECES = 80_000
+KEPT_PIECES = 50_000
 #: Texts are encoded in slices of about so many bytes.
 ENCODED_BYTES = 3 << 17
 
@@ -260,13 +260,17 @@ class Encoder:
             got = [pieces[w] for w in words]
             core.append(b"".join([g[0] for g in got]))
             core.append(" ".join([g[1] for g in got if g[1]]))
-            kept[name] = (head, tail, core, ())
+            kept[name] = (head, tail, core[0])
         out = []
         for parts in docs:
-            got = [pieces[p] if type(p) is bytes else p[2] for p in parts]
+            got = [pieces[p] if type(p) is bytes else p[2] if len(p) == 4 else (p[2], self._text(p[2])) for p in parts]
             out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])))
         return out
 
+    def _text(self, ids: bytes) -> str:
+        """The token strings of a kept chunk, which are not kept with it to save memory."""
+        return " ".join([self.names[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
+
     def forget(self) -> None:
         for store in (self.chunks, self.older, self.pieces, self.parts):
             store.clear()
