@@ -155,6 +155,7 @@ class Encoder:
         self.merges = Merges.of(self.tokenizer)
         self.chunks: dict[bytes, tuple] = {}
         self.older: dict[bytes, tuple] = {}
+        self.kept_chunks = KEPT_CHUNKS
         self.bytes = self.reused = 0  # in all, and in chunks that were kept
         self.pieces: dict[bytes, tuple[bytes, str]] = {}
         self.parts: dict[str, tuple[bytes, str]] = {}
@@ -215,7 +216,7 @@ class Encoder:
         owner = np.searchsorted(ends, at, side="left")
         at = at[(owner < len(ends)) & (at - (ends - [len(t) for t in texts])[np.minimum(owner, len(ends) - 1)] >= 8)]
         bounds = np.union1d(at, ends).tolist()
-        if len(self.chunks) > KEPT_CHUNKS:
+        if len(self.chunks) > self.kept_chunks:
             self.older, self.chunks = self.chunks, {}
         self.bytes += len(data)
         digest, kept, older = xxhash.xxh3_128_digest, self.chunks, self.older
@@ -315,13 +316,14 @@ def _encoded(encoder: Encoder, batches: Iterator[pa.RecordBatch], packed: bool)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), pa.array(n), ids, pa.array([g[1] for g in got], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None, packed: bool = False) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str | None = None, packed: bool = False, kept_chunks: int = KEPT_CHUNKS) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) for every row of ``docs``.
 
     ids is array<int>, or with ``packed`` binary (little-endian 32-bit numbers); decoded is what the library's
     decode gives for them. Equal to encoding the whole text with add_special_tokens=False. A null text is
     empty and has no tokens; repeated rows and null ids come back as they are; other columns are ignored. The
-    tokenizer's file must be at the same path on every machine.
+    tokenizer's file must be at the same path on every machine. A task keeps ``kept_chunks`` to twice as many chunks for
+    reuse, of about 700 bytes each; the result does not depend on it.
     """
     path = tokenizer or default_tokenizer()
     kind = "binary" if packed else "array<int>"
@@ -329,6 +331,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, packed: bool = False)
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
+        encoder.kept_chunks = kept_chunks
         try:
             yield from _encoded(encoder, batches, packed)
         finally:
