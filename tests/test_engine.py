@@ -336,6 +336,18 @@ def test_moments_of_shifted_values(spark):
     assert session.stats[0].hit
 
 
+@pytest.mark.parametrize("group", ["", "group by service"])
+def test_values_beside_all_other_aggregates_in_the_driver(spark, group):
+    """State without lists, so that it stays in the driver: rows of values have nulls in the columns of the others."""
+    data, cache = rows(spark), MemoryQueryCache()
+    calls = [a for a in AGGREGATES if "collect_list" not in a and "listagg" not in a]
+    for hour in (5, 20, 99):
+        session = with_query_cache(spark, QueryCacheConfig("t.ts", cache).with_override_now(START + timedelta(hours=hour)))
+        session.register_table("t", data)
+        check(session, f"select {', '.join(f'{a} as a{i}' for i, a in enumerate(calls))} from t {group}", spark)
+    assert session.stats[0].hit and next(iter(cache._entries.values()))[1].table is not None
+
+
 @pytest.mark.parametrize("group", ["", "group by service"])
 def test_values_go_to_files(spark, group):
     """Exact values are rows of state: beyond the driver's bound they are in files, and merge there."""

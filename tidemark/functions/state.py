@@ -92,6 +92,11 @@ def _avg(call: Call) -> AggState:
     return AggState({"s": F.sum(x), "n": F.count(x)}, {"s": lambda s: F.sum(s("s")), "n": lambda s: F.sum(s("n"))}, lambda s: F.when(s("n") > 0, s("s") / s("n")))
 
 
+def _struct(always: Column, **fields: Column) -> Column:
+    """A struct whose fields may be null, by a condition that always holds: in rows of values it is null as a whole, which Arrow only takes with such fields."""
+    return F.struct(*(F.when(always, c).alias(name) for name, c in fields.items()))
+
+
 def _folded(first: Column, add: Callable[[Column, Column], Column], final: Callable[[Column], Column]) -> AggState:
     """A struct of numbers with a count ``n``, merged two by two. A group has few rows of state when they are merged: what was kept and what is new."""
     pick = lambda a, b: F.when(a["n"] == 0, b).when(b["n"] == 0, a).otherwise(add(a, b))
@@ -116,11 +121,11 @@ def _moments(final: Callable[[Column], Column], most: int = 2) -> Callable[[Call
     def build(call: Call) -> AggState:
         x, zero = call.arg().cast("double"), F.lit(0.0)
         n, m2 = F.count(x).cast("double"), F.coalesce(F.var_pop(x) * F.count(x), F.lit(0.0))
-        first = [n.alias("n"), F.coalesce(F.avg(x), zero).alias("mean"), m2.alias("m2")]
+        first = {"n": n, "mean": F.coalesce(F.avg(x), zero), "m2": m2}
         if most > 2:
-            first.append(F.coalesce(F.when(m2 != 0, F.skewness(x) * F.pow(m2, F.lit(1.5)) / F.sqrt(n)), zero).alias("m3"))
-            first.append(F.coalesce(F.when(m2 != 0, (F.kurtosis(x) + 3) * m2 * m2 / n), zero).alias("m4"))
-        return _folded(F.struct(*first), add, final)
+            first["m3"] = F.coalesce(F.when(m2 != 0, F.skewness(x) * F.pow(m2, F.lit(1.5)) / F.sqrt(n)), zero)
+            first["m4"] = F.coalesce(F.when(m2 != 0, (F.kurtosis(x) + 3) * m2 * m2 / n), zero)
+        return _folded(_struct(n >= 0, **first), add, final)
 
     return build
 
@@ -141,9 +146,9 @@ def _pairs(final: Callable[[Column], Column], swap: bool = False) -> Callable[[C
         x, y = (b, a) if swap else (a, b)
         both = x.isNotNull() & y.isNotNull()
         x, y, n, zero = F.when(both, x), F.when(both, y), F.count(F.when(both, F.lit(1))).cast("double"), F.lit(0.0)
-        first = F.struct(
-            n.alias("n"), F.coalesce(F.avg(x), zero).alias("mx"), F.coalesce(F.avg(y), zero).alias("my"),
-            F.coalesce(F.var_pop(x) * n, zero).alias("xx"), F.coalesce(F.var_pop(y) * n, zero).alias("yy"), F.coalesce(F.covar_pop(x, y) * n, zero).alias("xy"),
+        first = _struct(
+            n >= 0, n=n, mx=F.coalesce(F.avg(x), zero), my=F.coalesce(F.avg(y), zero),
+            xx=F.coalesce(F.var_pop(x) * n, zero), yy=F.coalesce(F.var_pop(y) * n, zero), xy=F.coalesce(F.covar_pop(x, y) * n, zero),
         )
         return _folded(first, add, final)
 
@@ -164,7 +169,7 @@ def _by(pick: Callable[[Column], Column]) -> Callable[[Call], AggState]:
     def build(call: Call) -> AggState:
         value, key = call.args
         keep = key.isNotNull() if call.where is None else key.isNotNull() & call.where
-        return _simple(pick(F.when(keep, F.struct(key.alias("k"), value.alias("v")))), pick, lambda c: c["v"])
+        return _simple(pick(F.when(keep, _struct(key.isNotNull(), k=key, v=value))), pick, lambda c: c["v"])
 
     return build
 
