@@ -154,3 +154,46 @@ def test_shared_anchors_in_parts():
         assert got == want and {0, 1, 2} <= set(hot) and total >= sum(map(len, pairs.values()))
         if least == 1 << 24:
             assert total == sum(map(len, pairs.values())) and hot == {a: len(n) for a, n in pairs.items() if len(n) > 25}
+
+
+def test_large_groups_are_ordered_in_parts(monkeypatch):
+    """Many different strings under one anchor are judged under second anchors, none of them as one long text."""
+    random.seed(10)
+    core, tails = "".join(random.choices("abcdef", k=20)), ["".join(random.choices("abcdef", k=30)) for _ in range(60)]
+    strings = [(random.choice(tails)[k:] + core + random.choice(tails))[: random.randint(50, 80)].encode() for k in (random.randint(0, 30) for _ in range(400))]
+    strings = [x for x in strings if len(x) >= 50]
+    counts = [len(x) - 49 for x in strings]
+    got = {
+        "anchors": np.full(len(strings), 3, dtype="<u8"), "sizes": np.array([len(x) for x in strings], dtype="<u2"), "judges": np.array([(1 << n) - 1 for n in counts], dtype="<u4"),
+        "places": np.array([random.randint(0, 300) for _ in strings]), "names": np.arange(len(strings)), "firsts": np.zeros(len(strings), dtype="<u4"), "body": np.frombuffer(b"".join(strings), dtype="u1"),
+    }
+    least, want = {}, {}
+    for x, n, p in zip(strings, counts, got["places"].tolist(), strict=True):
+        for i in range(n):
+            least[x[i : i + 50]] = min(p, least.get(x[i : i + 50], p))
+    for x, n, p in zip(strings, counts, got["places"].tolist(), strict=True):
+        if late := {i for i in range(n) if least[x[i : i + 50]] < p}:
+            want[p] = want.get(p, set()) | late
+    monkeypatch.setattr(suffix, "order_one", None)
+    assert judged(got) == want and len(want) > 30
+
+
+def test_hot_strings_are_not_copied_for_each_window():
+    random.seed(11)
+    own = ["".join(random.choices("abcdef", k=80)).encode() for _ in range(50)]
+    zeros = np.zeros(50, dtype=np.int64)
+    text, first, count, name = suffix._spread(own, np.arange(50), zeros, zeros + 31, zeros.astype("<u8"), zeros == 0)
+    assert sorted(zip(np.repeat(text, count).tolist(), (np.repeat(first + count - np.cumsum(count), count) + np.arange(count.sum())).tolist(), strict=True)) == [(t, w) for t in range(50) for w in range(31)]
+    assert (count + 49).sum() < 5 * 80 * 50
+    assert len(set(name.tolist())) == len(name)
+
+
+def test_buckets_get_few_rows():
+    """A task deals what it has cut to each bucket once for 16 MB of text, and a small table has a bucket for each partition at most."""
+    import pyarrow as pa
+
+    random.seed(12)
+    texts = ["".join(random.choices("abcdefgh ", k=300_000)) for _ in range(30)]
+    batch = pa.record_batch({"h1": pa.array(range(30)), "text": pa.array(texts)})
+    rows = [r for out in suffix._anchors(200)(iter([batch])) for r in out.column("bucket").to_pylist()]
+    assert sorted(rows) == list(range(200))
