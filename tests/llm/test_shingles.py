@@ -5,8 +5,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tidemark.llm import shingles
-from tidemark.llm.common import table
+from tidemark.llm import shingles, simhash
+from tidemark.llm.common import Scratch, table
 
 
 def grams(text):
@@ -97,3 +97,19 @@ def test_equal_texts_of_many_documents(spark):
     rows = [(i, f"one text in {'many'} documents, all of them equal") for i in range(60)] + [(i, f"another text {i} that is by itself in this table") for i in range(60, 70)]
     got = shingles.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), hot_rows=3).collect()
     assert sorted(map(tuple, got)) == [(i, 0) for i in range(60)] + [(i, i) for i in range(60, 70)]
+
+
+def test_simhash_finds_candidates(spark):
+    """Without MinHash bands, sets whose SimHashes differ in up to the radius are candidates, equal SimHashes too."""
+    rows = [(d + 200 * i, t) for i, rate in enumerate((0.005, 0.01, 0.02)) for d, t in copies(i + 2, 40, rate)]
+    rows += [(1000, "a b c d e f"), (1001, "a b c d e f a b c d e f a b"), (1002, None), (1003, "")]
+    prints = {d: shingles.of_hashes(shingles.shingle_set((t or "").encode())) for d, t in rows}
+    near = {d + 1 for d in prints if d < 1000 and d % 2 == 0 and (prints[d] ^ prints[d + 1]).bit_count() <= 7}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in shingles.near_duplicates(docs, bands=0).collect() if r.component_id != r.doc_id}
+    assert got - {1003} == near and 60 < len(near) < 120
+    near -= {d for d in near if prints[d] == prints[d - 1]}
+    for parts in (3, 4, 6, 8):
+        a = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, d) for x, d in {x: d for d, x in reversed(prints.items()) if d < 1000}.items()], "fp long, rep long")
+        links = {tuple(sorted((r.a, r.b))) for r in simhash.close_links(a, Scratch(spark), 7, parts).collect()}
+        assert links == {(d - 1, d) for d in near}

@@ -1,8 +1,10 @@
-"""Near-duplicates by the similarity of their word shingles: candidates by MinHash bands, each verified exactly.
+"""Near-duplicates by the similarity of their word shingles: candidates by SimHash and MinHash, each verified exactly.
 
-A document's set of shingles gets ``bands`` keys of ``rows`` minima each. Sets that share a key form candidate
-groups; inside a group every set is compared with all that are not yet linked to it, by the exact Jaccard
-similarity of the whole sets. Only the sets of candidates are shuffled, each once unless its group is large.
+Each set of shingles gets a SimHash, and those that differ in up to ``radius`` bits are found as in ``simhash``. At a
+similarity of 0.8 a SimHash differs in about ten bits, too many to look up, so a set gets ``bands`` keys of ``rows``
+minima each besides. Sets with close SimHashes or a common key form candidate groups; inside a group every set is
+compared with all that are not yet linked to it, by the exact Jaccard similarity of the whole sets. Only the sets of
+candidates are shuffled, each once unless its group is large.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import BitFilter, Scratch, local_forest, shuffle_partitions, slices, small_or_shuffled, sorted_runs, spread, tidy, utf8
 from .components import connected_components
+from .simhash import close_links, of_hashes
 
 #: Shingles whose minima are taken at once.
 _BLOCK = 1024
@@ -46,7 +49,7 @@ def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
 
 def band_keys(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One key for each band, from the minima of ``rows`` hash functions; no keys for the empty set."""
-    if not len(shingles):
+    if not len(shingles) or not bands:
         return np.zeros(0, dtype=np.int64)
     rng = np.random.default_rng([bands, rows])
     factors = (rng.integers(0, 1 << 31, bands * rows, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -70,8 +73,9 @@ def _signatures(width: int, bands: int, rows: int):
             for low, high, sets in _sets(batch, width):
                 names = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
                 a, b = (pa.array(np.array([x >> 64 * i & (1 << 64) - 1 for x in names], dtype=np.uint64).view(np.int64)) for i in (1, 0))
+                fp = pa.array(np.array([of_hashes(s) for s in sets], dtype=np.uint64).view(np.int64))
                 keys = pa.array([band_keys(s, bands, rows) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), a, b, keys], names=["doc_id", "a", "b", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), a, b, fp, keys], names=["doc_id", "a", "b", "fp", "keys"])
 
     return run
 
@@ -139,12 +143,13 @@ def _verified(similarity: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int = 30, rows: int = 6, cell_shingles: int = 1 << 21, hot_rows: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 7, bands: int = 30, rows: int = 6, cell_shingles: int = 1 << 21, hot_rows: int = 1024) -> DataFrame:
     """(doc_id, component_id) for every row of ``docs``: documents whose shingle sets have this Jaccard similarity or more.
 
-    component_id is the smallest doc_id that links reach. No pair below ``similarity`` links; a pair at s or above is
-    a candidate but for a chance of (1 - s ** rows) ** bands, 1 in 9,000 for the defaults at 0.8, and candidates
-    are compared by their whole sets of 64-bit hashes. Words are split at ASCII white space after A-Z is
+    component_id is the smallest doc_id that links reach. No pair below ``similarity`` links. All pairs whose SimHashes
+    differ in up to ``radius`` bits are candidates; a pair at s or above is one too, by its minima, but for a chance of
+    (1 - s ** rows) ** bands, 1 in 9,000 for the defaults at 0.8, and candidates are compared by their whole sets of
+    64-bit hashes. With ``bands`` 0 SimHash alone gives the candidates. Words are split at ASCII white space after A-Z is
     lower-cased; a text of fewer than ``width`` words is one shingle; texts without words, null included, link with
     each other. Rows that repeat a doc_id are one document, and each come back. A row without doc_id comes back
     with a null component_id and takes part in no link. Other columns are ignored; an empty table gives an empty
@@ -154,12 +159,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ba
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = texts.where("doc_id is not null")
-    signed = scratch.save(named.mapInArrow(_signatures(width, bands, rows), "doc_id long, a long, b long, keys array<long>"))
-    distinct = scratch.save(signed.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.count("*").alias("n")))
+    signed = scratch.save(named.mapInArrow(_signatures(width, bands, rows), "doc_id long, a long, b long, fp long, keys array<long>"))
+    distinct = scratch.save(signed.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.count("*").alias("n")))
     mine, least = spread(signed.select("doc_id", "a", "b"), distinct.where("n > 1").select("a", "b", "rep", "n"), ["a", "b"], ["doc_id"], hot_rows)
     equal = mine.join(least, ["a", "b", "part"]).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     met = distinct.select("rep", F.explode("keys").alias("key")).repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
-    group = scratch.save(connected_components(met.mapInArrow(_met, "a long, b long"), scratch))
+    prints = scratch.save(distinct.groupBy("fp").agg(F.min("rep").alias("rep"), F.count("*").alias("n")))
+    owners, first = spread(distinct.select("fp", F.col("rep").alias("a")), prints.where("n > 1"), ["fp"], ["a"], hot_rows)
+    alike = owners.join(first, ["fp", "part"]).where("a != rep").select("a", F.col("rep").alias("b"))  # different sets of one SimHash
+    close = close_links(prints.select("fp", "rep"), scratch, radius)
+    group = scratch.save(connected_components(met.mapInArrow(_met, "a long, b long").union(close).union(alike), scratch))
 
     # A filter of bounded size says which documents of the second scan may be candidates; a join makes it exact.
     wanted = BitFilter(spark, scratch.save(group.select(F.xxhash64("node").alias("h"))))

@@ -37,11 +37,21 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     for low in range(0, n, SHINGLES):
         part = words[low : min(n, low + SHINGLES) + width - 1]
         grams = map(b" ".join, zip(*(part[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
-        hashes = np.fromiter((digest(g, seed) for g in grams), dtype="<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += _ones(np.fromiter((digest(g, seed) for g in grams), dtype="<u8"))
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """The SimHash of a set of shingles, given by their 64-bit hashes; zero for the empty set."""
+    ones = sum((_ones(hashes[low : low + SHINGLES]) for low in range(0, len(hashes), SHINGLES)), np.zeros(BITS, dtype=np.int64))
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 @tidy
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -195,10 +205,11 @@ def _linked(radius: int):
 def plan(n: int, radius: int) -> int:
     """The number of partitions for n fingerprints: the most that leave at most 16 fingerprints to a value, on average.
 
-    Fewer partitions have more bits each, so a probe meets fewer fingerprints by chance, but probes more values.
+    Fewer partitions have more bits each, so a probe meets fewer fingerprints by chance, but probes more values. As
+    thresholds go up to 2, a large radius needs more than two.
     """
     parts = radius + 1
-    while parts > 2 and n > 16 << (BITS // parts):
+    while parts > max(2, -(-(radius + 1) // 3)) and n > 16 << (BITS // parts):
         parts -= 1
     return parts
 
@@ -213,9 +224,22 @@ def near_duplicates(docs: DataFrame, radius: int = 3, parts: int | None = None,
     an empty result. ``parts`` None chooses by the number of fingerprints. Only bit counts, pair counts of bits and ``parts`` histograms of ``bins`` numbers reach
     the driver, whatever the input's size.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     prints = scratch.save(fingerprints(docs))
     distinct = scratch.save(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    component = connected_components(close_links(distinct, scratch, radius, parts, bins, cell_rows), scratch)
+    classes = distinct.join(component, distinct.rep == component.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    joined = prints.join(classes, "fp", "left")
+    return joined.select("doc_id", hexed.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def close_links(distinct: DataFrame, scratch: Scratch, radius: int = 3, parts: int | None = None, bins: int = 1 << 16, cell_rows: int = 8192) -> DataFrame:
+    """(a, b): links that connect all rows of ``distinct`` whose fingerprints differ in up to ``radius`` bits.
+
+    ``distinct`` is a saved table of different fingerprints, (fp long, rep long); a and b are the rows' ``rep``.
+    """
+    spark = distinct.sparkSession
 
     def bit_counts(batches):
         ones, both, n = np.zeros(BITS), np.zeros((BITS, BITS)), 0
@@ -254,9 +278,4 @@ def near_duplicates(docs: DataFrame, radius: int = 3, parts: int | None = None,
     rows = scratch.save(distinct.select("fp", "rep").mapInArrow(_bucket_rows(groups, radius, counts), "key long, side byte, fp long, rep long"))
     cells = salted(rows, "key", "side", "fp", cell_rows, scratch).select("cell", "side", "fp", "rep")
     cells = cells.repartition(shuffle_partitions(spark), "cell").sortWithinPartitions("cell", "side")
-    links = cells.mapInArrow(_linked(radius), "a long, b long")
-    component = connected_components(links, scratch)
-    classes = distinct.join(component, distinct.rep == component.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    joined = prints.join(classes, "fp", "left")
-    return joined.select("doc_id", hexed.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return cells.mapInArrow(_linked(radius), "a long, b long")
