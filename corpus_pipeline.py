@@ -11,8 +11,8 @@ from tidemark.llm import bpe, decontaminate, lines, quality, shingles
 from tidemark.llm.common import Scratch, small_or_shuffled, table
 
 
-#: Chunks that the last stage keeps for reuse; the executors are fuller here than where texts are only encoded.
-KEPT_CHUNKS = 4_000
+#: Chunks and words that the last stage keeps for reuse; the executors are fuller here than where texts are only encoded.
+KEPT_CHUNKS, KEPT_PIECES = 4_000, 50_000
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text has no tokens; repeated rows, and rows without doc_id, come back one by one; an empty table
     gives an empty result; other columns are left out.
     """
-    got = bpe.encode(docs, kept_chunks=KEPT_CHUNKS)
+    got = bpe.encode(docs, kept_chunks=KEPT_CHUNKS, kept_pieces=KEPT_PIECES)
     return got.select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -82,3 +82,18 @@ def test_copies_are_encoded_once():
     moved = b"a shifted start " + text
     assert encoder.encode([text, moved])[0] == want
     assert encoder.reused - before > 1.9 * len(text)
+
+
+def test_words_of_a_task_are_learned_once():
+    """Words that come back after 60,000 others are still kept; with a smaller store they are learned again, to the same ids."""
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(60_000)]
+    texts = [" ".join(words[i : i + 5000]).encode() for i in range(0, 60_000, 5000)] + [" ".join(words[:5000][::-1]).encode()]
+    got = []
+    for kept in (None, 10_000):
+        encoder, learned = bpe.Encoder(bpe.default_tokenizer()), []
+        encoder.kept_pieces = kept or encoder.kept_pieces
+        real = encoder._learn
+        encoder._learn = lambda pieces, real=real, learned=learned: (learned.append(len(pieces)), real(pieces))
+        got.append([encoder.encode([t]) for t in texts])
+        assert (sum(learned) == 60_000) == (kept is None)
+    assert got[0] == got[1]

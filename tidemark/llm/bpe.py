@@ -27,7 +27,7 @@ CHUNK_BYTES = 512
 #: Chunks kept for each task: the last so many, and as many before them. A chunk that is met again counts as new.
 KEPT_CHUNKS = 20_000
 #: Pieces and parts kept for each task; a full store is emptied. All stores are emptied when the task ends.
-KEPT_PIECES = 50_000
+KEPT_PIECES = 400_000
 #: Texts are encoded in slices of about so many bytes.
 ENCODED_BYTES = 3 << 17
 
@@ -155,7 +155,7 @@ class Encoder:
         self.merges = Merges.of(self.tokenizer)
         self.chunks: dict[bytes, tuple] = {}
         self.older: dict[bytes, tuple] = {}
-        self.kept_chunks = KEPT_CHUNKS
+        self.kept_chunks, self.kept_pieces = KEPT_CHUNKS, KEPT_PIECES
         self.bytes = self.reused = 0  # in all, and in chunks that were kept
         self.pieces: dict[bytes, tuple[bytes, str]] = {}
         self.parts: dict[str, tuple[bytes, str]] = {}
@@ -170,9 +170,9 @@ class Encoder:
 
     def _learn(self, pieces: list[bytes]) -> None:
         """Encodes pieces, which hold no ASCII white space, that are not kept yet."""
-        if len(self.pieces) + len(pieces) > KEPT_PIECES:
+        if len(self.pieces) + len(pieces) > self.kept_pieces:
             self.pieces.clear()
-        if len(self.parts) > KEPT_PIECES:
+        if len(self.parts) > self.kept_pieces:
             self.parts.clear()
         single, several, whole, fresh, parts = [], [], [], {}, self.parts
         for piece in pieces:
@@ -254,7 +254,7 @@ class Encoder:
         pieces = self.pieces
         missing = need.difference(pieces)
         if missing:
-            if len(pieces) + len(missing) > KEPT_PIECES:
+            if len(pieces) + len(missing) > self.kept_pieces:
                 missing = need
             self._learn(list(missing))
         for name, (head, tail, core, words) in fresh.items():
@@ -316,14 +316,15 @@ def _encoded(encoder: Encoder, batches: Iterator[pa.RecordBatch], packed: bool)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), pa.array(n), ids, pa.array([g[1] for g in got], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None, packed: bool = False, kept_chunks: int = KEPT_CHUNKS) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str | None = None, packed: bool = False, kept_chunks: int = KEPT_CHUNKS, kept_pieces: int = KEPT_PIECES) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) for every row of ``docs``.
 
     ids is array<int>, or with ``packed`` binary (little-endian 32-bit numbers); decoded is what the library's
     decode gives for them. Equal to encoding the whole text with add_special_tokens=False. A null text is
     empty and has no tokens; repeated rows and null ids come back as they are; other columns are ignored. The
     tokenizer's file must be at the same path on every machine. A task keeps ``kept_chunks`` to twice as many chunks for
-    reuse, of about 700 bytes each; the result does not depend on it.
+    reuse, of about 700 bytes each, and up to ``kept_pieces`` words and as many parts of words; the result does not
+    depend on them.
     """
     path = tokenizer or default_tokenizer()
     kind = "binary" if packed else "array<int>"
@@ -331,7 +332,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, packed: bool = False,
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
-        encoder.kept_chunks = kept_chunks
+        encoder.kept_chunks, encoder.kept_pieces = kept_chunks, kept_pieces
         try:
             yield from _encoded(encoder, batches, packed)
         finally:
