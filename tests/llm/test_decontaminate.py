@@ -3,9 +3,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from tidemark.llm import decontaminate as dc
-from tidemark.llm.common import table
+from tidemark.llm.common import batches_of, table
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -66,3 +67,27 @@ def test_proximity(spark):
     assert near(0) == [(3, 0, 2)] == near(2)
     assert near(3) == [(1, 0, 5), (3, 0, 2)]
     assert [list(map(int, x)) for x in dc.intersect([np.array([0, 4, 9]), np.array([1, 5])])] == [[0, 4], [1, 5]]
+
+
+def test_texts_come_in_small_batches(spark, monkeypatch):
+    """Both scans hand the workers batches of a bounded size, and the session's own bound holds again afterwards."""
+    key, seen, save = "spark.sql.execution.arrow.maxBytesPerBatch", [], dc.Scratch.save
+    before = spark.conf.get(key)
+
+    def spy(self, df, path=None):
+        seen.append(int(spark.conf.get(key)))
+        return save(self, df, path)
+
+    monkeypatch.setattr(dc.Scratch, "save", spy)
+    docs = spark.createDataFrame([(i, "a b c d e f g h " * 5000) for i in range(400)], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
+    got = dc.decontaminate(docs, items).collect()
+    assert len(got) == 400 and all(r.n_hit == 40_000 and r.n_items == 1 for r in got)
+    assert seen == [dc.BATCH_BYTES] * 2 and spark.conf.get(key) == before
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch({"n": pa.array([b.nbytes])})
+
+    with batches_of(spark, dc.BATCH_BYTES):
+        assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < 2 * dc.BATCH_BYTES

@@ -70,6 +70,18 @@ def tidy(run: Callable) -> Callable:
     return wrapped
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, most: int):
+    """While it is open, jobs hand Python workers batches of about ``most`` bytes, and the session's own bound holds again after."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -17,12 +17,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, tidy, utf8
+from .common import Scratch, batches_of, slices, tidy, utf8
 
 #: Word bytes: 0-9, a-z and all of 80-FF, after A-Z is lower-cased; every other byte separates.
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Test items are collected in blocks of about so many bytes of text.
 BLOCK_BYTES = 8 << 20
+#: Texts and segments go to the Python workers in batches of about so many bytes; the JVM holds up to three times as much.
+BATCH_BYTES = 8 << 20
 
 INDEX = "segment string, doc_ids array<long>, n_words array<long>, terms array<binary>, ends array<long>, postings binary"
 
@@ -178,13 +180,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, slop: int
     n_blocks, blocks = item_blocks(items, block_bytes)
     first = next(blocks)
     terms = frozenset(w for _, text in first for w in words_of(text)) if n_blocks == 1 else None
-    index = scratch.save(build_index(docs, terms))
+    with batches_of(docs.sparkSession, BATCH_BYTES):
+        index = scratch.save(build_index(docs, terms))
     # Occurrences of a document lie in one segment, so each task reduces its own before anything is shuffled. The
     # matches of a block are written before the next block is collected.
     spans = None
     for block in chain([first], blocks):
         found = search(index, block, window, slop).mapInArrow(_merge, "segment string, ordinal long, item_ids array<long>, spans array<struct<first:long,last:long>>")
-        spans = scratch.save(found, spans._scratch_path) if spans is not None else scratch.save(found)
+        with batches_of(docs.sparkSession, BATCH_BYTES):
+            spans = scratch.save(found, spans._scratch_path) if spans is not None else scratch.save(found)
     merged = spans.groupBy("segment", "ordinal").agg(F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     covered = F.aggregate(
         "spans",
