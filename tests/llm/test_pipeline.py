@@ -77,5 +77,13 @@ def test_stages_take_odd_rows(spark):
         corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").collect()
 
 
+def test_repeated_lines_need_one_worker_a_task(spark):
+    """The texts without their repeated lines are used twice, but made once; each making would hold a worker of its own."""
+    docs = spark.createDataFrame([(1, "a b c\nd", 7), (2, "a b c\ne", 7), (3, "a b c", 5)], "doc_id long, text string, n_chars long")
+    got = corpus_pipeline.drop_repeated_lines(spark, docs, "")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "a b c\nd", 7), (2, "e", 1)]
+
+
 def schema_names(schema):
     return [x.split()[0] for x in schema.split(", ")]

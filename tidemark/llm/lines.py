@@ -377,7 +377,8 @@ def dedup_lines(docs: DataFrame, edits: int = 1, keep: tuple[str, ...] = ("doc_i
     whole = docs.select(*keep, place.alias("place__"), row.alias("row__"), text.alias("text__"))
     joined = whole.join(gone.select(F.col("place").alias("place__"), F.col("row").alias("row__"), "gone__"), ["place__", "row__"], "left")
     touched = F.col("gone__").isNotNull()
-    kept = F.arrow_udf(_without, "string")(F.when(touched, F.col("text__")), F.col("gone__"))
+    # Called non-deterministic, as Spark would else run it once for each use, and a task would hold a worker for each.
+    kept = F.arrow_udf(_without, "string").asNondeterministic()(F.when(touched, F.col("text__")), F.col("gone__"))
     return joined.select(
         *keep, F.coalesce(kept, F.col("text__")).alias("kept_text"), F.coalesce(F.size(F.split("text__", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone__"), F.lit(0)).cast("long").alias("n_removed"),
