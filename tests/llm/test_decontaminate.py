@@ -91,3 +91,19 @@ def test_texts_come_in_small_batches(spark, monkeypatch):
 
     with batches_of(spark, dc.BATCH_BYTES):
         assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < 2 * dc.BATCH_BYTES
+
+
+def test_matches_are_merged_where_they_are_found(spark, monkeypatch):
+    """A task of either scan has one Python step, as each step holds a worker; matches beyond one part of MERGED_ROWS count too."""
+    plans, save = [], dc.Scratch.save
+
+    def spy(self, df, path=None):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow"))
+        return save(self, df, path)
+
+    monkeypatch.setattr(dc.Scratch, "save", spy)
+    docs = [(i, "a b c d e f g h " * 1000 + "x") for i in range(4)]
+    items = [(1, "a b c d e f g h"), (2, "b c d e f g h a b c"), (3, "x y")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string")
+    assert run(d, b) == brute(docs, items)
+    assert plans == [1, 1]

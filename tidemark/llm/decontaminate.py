@@ -25,6 +25,8 @@ _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 BLOCK_BYTES = 8 << 20
 #: Texts and segments go to the Python workers in batches of about so many bytes; the JVM holds up to three times as much.
 BATCH_BYTES = 8 << 20
+#: Matches of a segment are merged so many at a time.
+MERGED_ROWS = 10_000
 
 INDEX = "segment string, doc_ids array<long>, n_words array<long>, terms array<binary>, ends array<long>, postings binary"
 
@@ -105,11 +107,8 @@ def intersect(lists: list[np.ndarray], slop: int = 0) -> tuple[np.ndarray, np.nd
     return begin[near], end[near]
 
 
-def search(index: DataFrame, items: list[tuple[int, bytes]], window: int = 8, slop: int = 0) -> DataFrame:
-    """Matches of one block of test items: (segment, ordinal, doc_id, item_ids, first, last), a row for each occurrence of a window.
-
-    ordinal is the document's number in its segment, first and last are word numbers in the document.
-    """
+def _finder(items: list[tuple[int, bytes]], window: int, slop: int):
+    """Rows of the index to matches of one block of test items."""
     grams = phrases(items, window)
     vocabulary = {t: i for i, t in enumerate(sorted({w for g in grams for w in g}))}
     owners = list(grams.values())
@@ -149,7 +148,26 @@ def search(index: DataFrame, items: list[tuple[int, bytes]], window: int = 8, sl
                         names=["segment", "ordinal", "doc_id", "item_ids", "first", "last"],
                     )
 
-    return index.mapInArrow(find, "segment string, ordinal long, doc_id long, item_ids array<long>, first long, last long")
+    return find
+
+
+def search(index: DataFrame, items: list[tuple[int, bytes]], window: int = 8, slop: int = 0) -> DataFrame:
+    """Matches of one block of test items: (segment, ordinal, doc_id, item_ids, first, last), a row for each occurrence of a window.
+
+    ordinal is the document's number in its segment, first and last are word numbers in the document.
+    """
+    return index.mapInArrow(_finder(items, window, slop), "segment string, ordinal long, doc_id long, item_ids array<long>, first long, last long")
+
+
+def _merged_search(index: DataFrame, items: list[tuple[int, bytes]], window: int, slop: int) -> DataFrame:
+    """Merged spans of the matches of one block, found and merged by one worker; two steps would hold two for a task."""
+    find = _finder(items, window, slop)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in find(batches):
+            yield from _merge(found.slice(low, MERGED_ROWS) for low in range(0, found.num_rows, MERGED_ROWS))
+
+    return index.mapInArrow(run, "segment string, ordinal long, item_ids array<long>, spans array<struct<first:long,last:long>>")
 
 
 def item_blocks(items: DataFrame, block_bytes: int) -> tuple[int, Iterator[list[tuple[int, bytes]]]]:
@@ -186,7 +204,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, slop: int
     # matches of a block are written before the next block is collected.
     spans = None
     for block in chain([first], blocks):
-        found = search(index, block, window, slop).mapInArrow(_merge, "segment string, ordinal long, item_ids array<long>, spans array<struct<first:long,last:long>>")
+        found = _merged_search(index, block, window, slop)
         with batches_of(docs.sparkSession, BATCH_BYTES):
             spans = scratch.save(found, spans._scratch_path) if spans is not None else scratch.save(found)
     merged = spans.groupBy("segment", "ordinal").agg(F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
