@@ -2,6 +2,7 @@
 
 import io
 import random
+import re
 from datetime import datetime, timedelta
 
 import pyarrow as pa
@@ -180,6 +181,32 @@ def test_quantile_sketch_is_as_accurate_as_asked(spark):
     assert not session.stats
 
 
+def test_sketches_and_lists_have_no_buffers_for_values(spark, monkeypatch):
+    """Beside exact percentiles, a sketch or list is aggregated by group only, in runs without and with stored state; the rows of values have none."""
+    from tidemark.operators import maintain
+
+    written, write, cache = [], maintain._written, MemoryQueryCache()
+    monkeypatch.setattr(maintain, "_written", lambda spark, state: written.append(state) or write(spark, state))
+    data = spark.range(3000).select(F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") % 7200).cast("timestamp_ntz").alias("ts"), (F.col("id") % 3).alias("k"), (F.col("id") % 1000).cast("double").alias("x"))
+    data = data.union(spark.sql("select timestamp_ntz'2024-01-01 00:10:00', 3L, cast(null as double)"))
+    data.createOrReplaceTempView("sketched")
+    text = "select k, percentile(x, 0.9) as p, approx_percentile(x, 0.9) as a, median(x) as m, approx_count_distinct(x) as d, size(collect_list(x)) as l, count(*) as n from {} group by k order by k"
+    for hour in (0.5, 3):
+        session = with_query_cache(spark, QueryCacheConfig("t.ts", cache, driver_rows=0).with_override_now(START + timedelta(hours=hour)))
+        session.register_table("t", data)
+        out = session.sql(text.format("t"))
+        assert session.stats[0].hit == (hour == 3)
+        got, want = out.collect(), spark.sql(text.format("sketched")).collect()
+        assert [(r.k, r.p, r.m, r.l, r.n) for r in got] == [(r.k, r.p, r.m, r.l, r.n) for r in want]
+        assert all(a.a == b.a or abs(a.a - b.a) <= 1 for a, b in zip(got, want, strict=True)) and all(abs(a.d - 1000 * (a.k < 3)) <= 30 for a in got)
+        for frame in (written[-1], out):
+            plan = frame._jdf.queryExecution().analyzed().toString().split("\n")
+            grouped = [line.split("Aggregate [")[1].split("], [")[0] for line in plan if re.search(r"Aggregate .*(kll|hll)_", line)]
+            assert grouped and not any(re.search(r"\b(part|v\d+)#|CASE WHEN", g) for g in grouped)
+        state = written[-1].where("part > 0")
+        assert state.count() and not state.where(" or ".join(f"{c} is not null" for c in state.columns if c.startswith("s"))).count()
+
+
 def test_state_stays_as_large_as_its_groups(spark):
     data, cache = rows(spark, late_nulls=False), MemoryQueryCache()
     for hour in range(1, 6):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import QueryCacheConfig
-from ..functions.state import AggState
+from ..functions.state import ROW_BYTES, AggState
 from ..sources.cache import CacheEntry, OccupiedEntry, State
 from ..sources.folders import own_folder
 
@@ -25,6 +25,8 @@ STATE_VERSION = "3"
 TAIL = "is_tail"
 #: Which aggregate's values a row of state holds: 0 for the columns of the group, i + 1 for a value of aggregate i.
 PART = "part"
+#: Rows of state that are aggregated together: all, or those of groups and those of values apart.
+ALL, GROUPS, VALUES = range(3)
 _DAY = 86_400_000_000
 
 
@@ -84,6 +86,13 @@ class Aggregation:
         """The columns that tell rows of state apart, besides TAIL."""
         return [*(f"k{i}" for i in range(len(self.keys))), *([PART] if self.valued else []), *(f"v{i}" for i in self.valued)]
 
+    @property
+    def kinds(self) -> tuple[int, ...]:
+        """What is aggregated by itself. A sketch has its whole buffer (340 KB for a quantile at Spark's accuracy) and a list its own from the
+        start, in every row of an aggregation, so rows of values beside them are aggregated without."""
+        large = any(s.value is None and s.row_bytes != ROW_BYTES for s in self.states)
+        return (GROUPS, VALUES) if self.valued and large else (ALL,)
+
     def driver_rows(self, config: QueryCacheConfig) -> int:
         """How many rows of state may be kept in the driver."""
         sizes = [s.row_bytes for s in self.states]
@@ -121,24 +130,48 @@ def fresh_rows(agg: Aggregation, bound: int | None) -> DataFrame:
     return agg.base.where((agg.temporal >= bound_literal(bound, agg.temporal_type)) | agg.temporal.isNull())
 
 
-def partial_state(agg: Aggregation, rows: DataFrame, now: int) -> DataFrame:
-    """State of ``rows``, in one pass over them: a row for each group and, where aggregates keep values, for each of those."""
+def by_kind(agg: Aggregation, made: Callable[[int], DataFrame]) -> DataFrame:
+    """The state whose rows of each kind ``made`` gives."""
+    if agg.kinds == (ALL,):
+        return made(ALL)
+    groups, values = (made(kind) for kind in agg.kinds)
+    order = [*values.columns, *(c for c in groups.columns if c not in values.columns)]
+    return groups.withColumn(PART, F.lit(0)).unionByName(values, allowMissingColumns=True).select(*order)
+
+
+def of_kind(agg: Aggregation, state: DataFrame, kind: int) -> DataFrame:
+    """The rows of one kind, with the columns that they fill."""
+    if kind == ALL:
+        return state
+    if kind == GROUPS:
+        return state.where(F.col(PART) == 0).drop(PART, *(f"v{i}" for i in agg.valued))
+    return state.where(F.col(PART) > 0).drop(*(c for c in state.columns if c.startswith("s")))
+
+
+def partial_state(agg: Aggregation, rows: DataFrame, now: int, kind: int | None = None) -> DataFrame:
+    """State of ``rows``, in one pass over them for each kind: a row for each group and, where aggregates keep values, for each of those."""
+    if kind is None:
+        return by_kind(agg, lambda kind: partial_state(agg, rows, now, kind))
     tail = F.coalesce(agg.temporal >= bound_literal(now, agg.temporal_type), F.lit(True)).alias(TAIL)
     keys = [k.alias(f"k{i}") for i, k in enumerate(agg.keys)]
     columns = [c.alias(f"s{i}_{name}") for i, s in enumerate(agg.states) for name, c in s.partial.items()]
     count = F.count(F.lit(1)).alias("rows")
-    if not agg.valued:
+    if not agg.valued or kind == GROUPS:
         return rows.groupBy(*keys, tail).agg(count, *columns)
-    parts = F.array_compact(F.array(F.lit(0), *(F.when(agg.states[i].value.isNotNull(), F.lit(i + 1)) for i in agg.valued)))
+    first, columns = ([], []) if kind == VALUES else ([F.lit(0)], columns)
+    parts = F.array_compact(F.array(*first, *(F.when(agg.states[i].value.isNotNull(), F.lit(i + 1)) for i in agg.valued)))
     values = [F.when(F.col(PART) == i + 1, agg.states[i].value).alias(f"v{i}") for i in agg.valued]
     state = rows.withColumn(PART, F.explode(parts)).groupBy(*keys, tail, PART, *values).agg(count, *columns)
     return state.select(*(F.when(F.col(PART) == 0, F.col(c)).alias(c) if c.startswith("s") else c for c in state.columns))
 
 
-def merged_state(agg: Aggregation, state: DataFrame, by: list[str]) -> DataFrame:
+def merged_state(agg: Aggregation, state: DataFrame, by: list[str], kind: int | None = None) -> DataFrame:
     """One row for each different ``by``: the state stays as large as the number of groups and values."""
+    if kind is None:
+        return by_kind(agg, lambda kind: merged_state(agg, of_kind(agg, state, kind), by, kind))
+    by = [c for c in by if c in state.columns]
     columns = [F.sum("rows").alias("rows")]
-    for i, s in enumerate(agg.states):
+    for i, s in enumerate(agg.states if kind != VALUES else []):
         field = lambda name, i=i: F.col(f"s{i}_{name}")
         columns += [s.merge[name](field).cast(state.schema[f"s{i}_{name}"].dataType).alias(f"s{i}_{name}") for name in s.partial]
     return state.groupBy(*by).agg(*columns)
@@ -231,8 +264,9 @@ def run(spark: SparkSession, agg: Aggregation, config: QueryCacheConfig, mode: s
             else:
                 frame = State(whole, table=_with_tail(held.table, held.tail)).frame(spark).coalesce(1)
             return result(frame, not held.tail_rows and (held.rows > 0 or bool(agg.keys))), stats
-        state = state.unionByName(held.frame(spark).withColumn(TAIL, F.lit(False)))
-        state = merged_state(agg, state, [*agg.group, TAIL])
+        known = held.frame(spark).withColumn(TAIL, F.lit(False))
+        both = lambda kind: partial_state(agg, fresh, until, kind).unionByName(of_kind(agg, known, kind))
+        state = by_kind(agg, lambda kind: merged_state(agg, both(kind), [*agg.group, TAIL], kind))
     state = state.select(*names)
     most = agg.driver_rows(config)
     got = path = None
